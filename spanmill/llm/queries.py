@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import groups, overlap, packing, splits, terms, tokenizer
+from . import groups, names, overlap, packing, privacy, splits, terms, tokenizer
 
 FIELDS = {"head": "head_as_lowercase_string", "tokens": "tokens_as_lowercase_string"}
 
@@ -19,6 +19,10 @@ def p1_splits(spark: SparkSession, sf: str) -> DataFrame:
     return splits.split_related(table(spark, sf, "conll_docs"))
 
 
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    return names.spelling_pairs(table(spark, sf, "mentions"))
+
+
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return groups.linked_mentions(table(spark, sf, "mentions"))
 
@@ -55,7 +59,15 @@ def p8_containers(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(p7_ids(spark, sf).select("doc_id", F.size("ids").alias("n_tokens")))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_splits, p3_found, p3_groups, p5_found, p5_report, p6_found, p6_terms, p7_ids, p8_containers)}
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    return privacy.find_personal(table(spark, sf, "documents"))
+
+
+def p9_redacted(spark: SparkSession, sf: str) -> DataFrame:
+    return privacy.redact_personal(table(spark, sf, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_splits, p2_found, p3_found, p3_groups, p5_found, p5_report, p6_found, p6_terms, p7_ids, p8_containers, p9_found, p9_redacted)}
 
 _MENTIONS = "(SELECT DISTINCT mention_id, doc_id, mention_idx, set_id, antecedent, head_as_lowercase_string, tokens_as_lowercase_string FROM mentions WHERE mention_id IS NOT NULL)"
 
