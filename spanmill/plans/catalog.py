@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import scale
+from . import documents, evaluation, links, scale
 
-QUERIES = {**scale.QUERIES}
-ORACLE = {**scale.ORACLE}
+_PARTS = (documents, links, evaluation, scale)
+QUERIES = {name: f for part in _PARTS for name, f in part.QUERIES.items()}
+ORACLE = {name: sql for part in _PARTS for name, sql in part.ORACLE.items()}
