@@ -29,7 +29,7 @@ def conll_documents(tokens: DataFrame, mentions: DataFrame, entity: str = "set_i
     """
     t = coref_column(tokens, mentions, entity)
     c = lambda n, d: F.coalesce(F.col(n).cast("string"), F.lit(d)) if n in t.columns else F.lit(d)
-    path = F.regexp_extract("doc_id", r"^\((.*)\);", 1)
+    path = F.coalesce(F.nullif(F.regexp_replace(F.regexp_extract("doc_id", r"^\((.*)\)", 1), r"\s+", "_"), F.lit("")), F.lit("-"))
     built = F.array(path, F.lit("0"), c("in_sent_idx", "0"), c("token", "-"), c("pos", "XX"), c("parse_bit", "*"), F.lit("-"), F.lit("-"), F.lit("-"), c("speaker", "-"), F.lit("*"))
     cells = F.when(F.col("raw_cols").isNotNull(), F.slice("raw_cols", F.lit(1), F.size("raw_cols") - 1)).otherwise(built) if "raw_cols" in t.columns else built
     line = F.concat(F.array_join(F.concat(cells, F.array("coref")), "\t"), F.lit("\n"))

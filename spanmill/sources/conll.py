@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.spans import span
 from ..operators.context import islands, rebased, sentence_spans
+from ..storage import write_table
 
 BEGIN, END = "#begin document", "#end document"
 
@@ -53,7 +54,8 @@ def tokens(documents: DataFrame, corpus: str = "corpus") -> DataFrame:
         F.lit(corpus).alias("corpus"), "doc_id", "tok_idx", col(2).cast("int").alias("in_sent_idx"), col(3).alias("token"), col(4).alias("pos"), col(5).alias("parse_bit"),
         col(9).alias("speaker"), col(10).alias("ner_bit"), F.element_at("cols", -1).alias("coref"), F.col("cols").alias("raw_cols"),
     )
-    t = _entity_tags(rebased(t))
+    # both steps below read their input several times; written, the text is cut up once
+    t = write_table(_entity_tags(write_table(rebased(t), "rows")), "tagged")
     spans = sentence_spans(t)
     at = spans.select("doc_id", "sent_id", F.explode(F.sequence("begin", "end")).alias("tok_idx"))
     return t.join(at, ["doc_id", "tok_idx"]).drop("ner_bit")
