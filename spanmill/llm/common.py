@@ -34,3 +34,12 @@ def bounded_rank(df: DataFrame, groups: list[str], order: list[str], out: str =
 def squeezed(c: Column) -> Column:
     """Lower case, only letters and digits."""
     return F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", "")
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """The rows over at least as many partitions as there are cores, for work that costs far more than reading.
+
+    A table of many files keeps its partitions and isn't shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores else df.repartition(2 * cores, key)

@@ -24,6 +24,8 @@ from ..storage import drop_table, write_table
 #: Edges that one cell may hold; a round of at most this many edges runs as one cell.
 CELL_EDGES = 400_000
 MIN_BLOCKS = 4
+#: Edges that aren't worth more than one cell even in the first round.
+ONE_CELL = 20_000
 
 
 def _roots(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -56,7 +58,7 @@ def _union_cell(batches):
         yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(roots)], names=["vertex", "root"])
 
 
-def connected_components(edges: DataFrame, cell_edges: int = CELL_EDGES, min_blocks: int = MIN_BLOCKS) -> DataFrame:
+def connected_components(edges: DataFrame, cell_edges: int = CELL_EDGES, min_blocks: int = MIN_BLOCKS, one_cell: int = ONE_CELL) -> DataFrame:
     """(vertex, component) for every vertex of an edge; component is its smallest vertex.
 
     ``edges`` has ``src`` and ``dst`` (BIGINT).  Edges with a null end or equal
@@ -73,7 +75,7 @@ def connected_components(edges: DataFrame, cell_edges: int = CELL_EDGES, min_blo
             drop_table(current)
             break
         blocks = 1 if n <= cell_edges and not first else max(min_blocks if first else 1, math.ceil(math.sqrt(2 * n / cell_edges)))
-        if n < 20_000:
+        if n < one_cell:
             blocks = 1
         block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
         lo, hi = F.least(block("src"), block("dst")), F.greatest(block("src"), block("dst"))

@@ -7,10 +7,15 @@ from pyspark.sql import functions as F
 
 from ..session import table
 from . import groups, names, overlap, packing, privacy, splits, terms, tokenizer
+from .common import spread
 
 FIELDS = {"head": "head_as_lowercase_string", "tokens": "tokens_as_lowercase_string"}
 
 
+def _documents(spark: SparkSession, sf: str) -> DataFrame:
+    return spread(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+
+
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     return splits.related(table(spark, sf, "conll_docs"))
 
@@ -52,7 +57,7 @@ def p6_terms(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
-    return tokenizer.encode(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", "ids")
+    return tokenizer.encode(_documents(spark, sf)).select("doc_id", "ids")
 
 
 def p8_containers(spark: SparkSession, sf: str) -> DataFrame:
@@ -60,11 +65,11 @@ def p8_containers(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
-    return privacy.find_personal(table(spark, sf, "documents"))
+    return privacy.find_personal(_documents(spark, sf))
 
 
 def p9_redacted(spark: SparkSession, sf: str) -> DataFrame:
-    return privacy.redact_personal(table(spark, sf, "documents"))
+    return privacy.redact_personal(_documents(spark, sf))
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_splits, p2_found, p3_found, p3_groups, p5_found, p5_report, p6_found, p6_terms, p7_ids, p8_containers, p9_found, p9_redacted)}
