@@ -80,9 +80,10 @@ def coreference_spans(t: DataFrame, column: str = "coref", strict: bool = False)
     level = Window.partitionBy("doc_id", "set_id", "_depth").orderBy("tok_idx", "x.k")
     events = events.withColumns({"_open": F.lag("tok_idx").over(level), "_was": F.lag("_d").over(level), "_next": F.lead("_d").over(level)})
     lost = ((F.col("_d") > 0) & ~F.col("_next").eqNullSafe(-1)) | ((F.col("_d") < 0) & ~F.col("_was").eqNullSafe(1))
-    if strict:
-        events = events.filter(F.when(lost, F.raise_error(F.concat(F.lit("bracket without a partner in "), "doc_id", F.lit(", entity "), F.col("set_id").cast("string")))).otherwise(F.lit(True)))
     pairs = events.filter((F.col("_d") < 0) & (F.col("_was") == 1)).select("doc_id", span("_open", "tok_idx").alias("span"), "set_id", F.struct("tok_idx", "x.k").alias("_at"))
+    if strict:  # rows of their own, so that no other filter can come before the error
+        alone = F.raise_error(F.concat(F.lit("bracket without a partner in "), "doc_id", F.lit(", entity "), F.col("set_id").cast("string"))).cast("int")
+        pairs = pairs.unionByName(events.filter(lost).select("doc_id", span(alone, "tok_idx").alias("span"), "set_id", F.struct("tok_idx", "x.k").alias("_at")))
     return single.unionByName(pairs).groupBy("doc_id", "span").agg(F.max_by("set_id", "_at").alias("set_id"))
 
 
