@@ -81,7 +81,7 @@ def main(argv: list[str] | None = None) -> None:
         writers.inline_tags(t, cluster.with_decisions(m, clusters, decisions)).write.mode("overwrite").json(a.out)
     elif a.command == "resolve":
         t, m, _ = read_corpus(spark, a.input)
-        best = resolve.best_antecedents(resolve.edges(m))
+        best = resolve.best_antecedents(resolve.edges(m, tokens=t))
         _finish(t, m, best, resolve.entities(best), a.out)
     else:
         spans = [conll.coreference_spans(conll.tokens(conll.read_documents(spark, f))) for f in (a.key, a.response)]

@@ -116,3 +116,26 @@ def test_identifiers(spark):
     df = spark.createDataFrame([("(bn/voa/02/voa_0220); part 000",)], "d string")
     row = df.select(writers.html_identifier(F.col("d")).alias("a"), writers.html_identifier_conll(F.col("d")).alias("b")).first()
     assert row["a"] == "(bn_voa_02_voa_0220); part 000" and row["b"] == "voa_0220_part_000"
+
+
+SERVICE = """
+import json, struct, sys
+for line in sys.stdin:
+    command, _, text = line.rstrip("\\n").partition("\\t")
+    answer = b"{}" if command == "PING" else json.dumps({"sentences": [{"tokens": json.loads(text).split(), "ner": ["O", "GPE"], "deps_basic": [["nsubj", 1, 0], ["root", -1, 1]]}]}).encode()
+    sys.stdout.buffer.write(struct.pack(">Q", len(answer)) + answer)
+    sys.stdout.buffer.flush()
+"""
+
+
+def test_annotation_process(spark, tmp_path):
+    import sys
+
+    script = str(tmp_path / "service.py")
+    (tmp_path / "service.py").write_text(SERVICE.replace("\\\\", "\\"))
+    client = rawtext.AnnotationClient([sys.executable, script])
+    assert client.ping() and client("a b")["sentences"][0]["tokens"] == ["a", "b"]
+    client.close()
+    python = sys.executable
+    t = rawtext.annotate(spark.createDataFrame([("d", "Ann Rome")], "doc_id string, text string"), lambda: rawtext.AnnotationClient([python, script]))
+    assert [(r["token"], r["ner"], r["head"], r["deprel"]) for r in t.orderBy("tok_idx").collect()] == [("Ann", "NONE", 2, "nsubj"), ("Rome", "GPE", 0, "root")]

@@ -74,6 +74,12 @@ def test_rules_resolve_the_story(spark):
     assert got == {(1, 1), (3, 1), (5, 1), (2, 2), (4, 2)}
 
 
+def test_listed_pairs_make_edges(spark):
+    listed = spark.createDataFrame([("mr. smith", "the company")], "lo string, hi string")
+    rows = resolve.edges(story(spark), negative={}, positive={"lexical": rules.lexical}, listed=listed).filter("weight > 0").collect()
+    assert [(r["ana_idx"], r["ante_idx"], r["pos_rel"]) for r in rows] == [(4, 1, ["lexical"])]
+
+
 def test_speakers(spark):
     who = [("i", "A", 0), ("you", "B", 2), ("i", "A", 4), ("i", "B", 6)]
     rows = [m(k, w, "PRP", "PRO", b, 0, citation_form=w, speaker=s) for k, (w, s, b) in enumerate(who, 1)] + [m(5, "Ann Bell", "NNP NNP", "NAM", 8, 0, "Ann Bell"), m(6, "i", "PRP", "PRO", 11, 0, citation_form="i", speaker="Ann_Bell")]
