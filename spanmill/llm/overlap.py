@@ -45,8 +45,8 @@ def _band_keys(bands: int, rows: int, seed: int):
 
     def run(batches):
         for batch in batches:
-            ids, lists = batch.column("class_id"), batch.column("hashes")
-            for at in range(0, len(ids), 512):
+            lists = batch.column("hashes")
+            for at in range(0, len(lists), 512):
                 part = lists.slice(at, 512)
                 values = part.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
                 starts = np.concatenate([[0], np.cumsum(np.diff(part.offsets.to_numpy()))])[:-1].astype(np.int64)
@@ -64,7 +64,8 @@ def _band_keys(bands: int, rows: int, seed: int):
                     keys ^= keys >> np.uint64(29)
                 flat = pa.array(keys.view(np.int64).ravel())
                 offsets = pa.array(np.arange(0, len(flat) + 1, bands, dtype=np.int32))
-                yield pa.RecordBatch.from_arrays([ids.slice(at, 512), pa.ListArray.from_arrays(offsets, flat)], names=["class_id", "keys"])
+                kept = [batch.column(c).slice(at, 512) for c in ("class_id", "has_train", "has_held_out")]
+                yield pa.RecordBatch.from_arrays([*kept, pa.ListArray.from_arrays(offsets, flat)], names=["class_id", "has_train", "has_held_out", "keys"])
 
     return run
 
@@ -84,15 +85,19 @@ def cross_split_pairs(
     d = distinct_rows(docs.filter(F.col(tokens).isNotNull() & side.isin(*train, *held_out)), key, split, tokens)
     sets = d.select(key, side.isin(*train).alias("is_train"), F.sort_array(shingles(F.col(tokens), width)).alias("set")).filter("set IS NOT NULL")
     # the fingerprint is of the whole set; array_join is unambiguous as \x1e isn't white space between tokens
-    sets = sets.withColumn("class_id", F.sha2(F.array_join("set", "\x1e"), 256))
-    members = write_table(sets.select(key, "is_train", "class_id", "set"), "members")
-    classes = members.groupBy("class_id").agg(F.bool_or("is_train").alias("has_train"), F.bool_or(~F.col("is_train")).alias("has_held_out"), F.min("set").alias("set"))
-    classes = write_table(classes, "classes")
+    sets = write_table(sets.withColumn("print", F.unhex(F.sha2(F.array_join("set", "\x1e"), 256))), "sets")
+    flags = [F.bool_or("is_train").alias("has_train"), F.bool_or(~F.col("is_train")).alias("has_held_out")]
+    named = write_table(sets.groupBy("print").agg(F.min(key).alias("class_id"), *flags), "named")  # a class is called by its smallest key
+    sides = named.select("class_id", "has_train", "has_held_out")
+    members = sets.select(key, "is_train", "print").join(named.select("print", "class_id"), "print").select(key, "is_train", "class_id")
+    classes = sets.select(F.col(key).alias("class_id"), "set").join(sides, "class_id")
 
     bands, rows = banding(threshold, miss)
-    signed = classes.select("class_id", F.transform("set", lambda s: F.xxhash64(s)).alias("hashes")).mapInArrow(_band_keys(bands, rows, seed), "class_id string, keys array<long>")
-    sides = classes.select("class_id", "has_train", "has_held_out")
-    buckets = signed.join(sides, "class_id").select("class_id", "has_train", "has_held_out", F.posexplode("keys").alias("band", "bucket"))
+    hashed = classes.select("class_id", "has_train", "has_held_out", F.transform("set", lambda s: F.xxhash64(s)).alias("hashes"))
+    kind = dict(named.dtypes)["class_id"]
+    signed = hashed.mapInArrow(_band_keys(bands, rows, seed), f"class_id {kind}, has_train boolean, has_held_out boolean, keys array<long>")
+    buckets = signed.select("class_id", "has_train", "has_held_out", F.posexplode("keys").alias("band", "bucket"))
+    buckets = write_table(buckets, "buckets")  # read by both sides
     near = (
         buckets.filter("has_train").select("band", "bucket", F.col("class_id").alias("class_t"))
         .join(buckets.filter("has_held_out").select("band", "bucket", F.col("class_id").alias("class_h")), ["band", "bucket"])
