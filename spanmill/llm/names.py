@@ -107,7 +107,7 @@ def neighbour_words(words: DataFrame, column: str = "word") -> DataFrame:
     """(a, b), a < b: distinct words one edit apart, both at least ``ANCHOR_FUZZY`` long; nulls take no part."""
     long = words.select(F.col(column).alias("word")).filter(F.length("word") >= ANCHOR_FUZZY).distinct()
     sharded = long.select("word", F.explode(shard_keys(F.col("word"))).alias("shard"))
-    return sharded.repartition("shard").mapInArrow(_trie_join, "a string, b string").distinct()
+    return sharded.repartition(2 * words.sparkSession.sparkContext.defaultParallelism, "shard").mapInArrow(_trie_join, "a string, b string").distinct()
 
 
 _MARKS = regex.compile(r"\p{M}+")
@@ -306,13 +306,15 @@ def spellings(mentions: DataFrame, tokens: str = "tokens", kind: str = "type", t
 
 def entities(found: DataFrame, **grid) -> DataFrame:
     """(spelling, entity) of the spellings that share an entity with another one; ``found`` as from :func:`spellings`."""
-    parsed = write_table(found.mapInArrow(_parse, "spelling string, kind string, anchor string, rest string"), "parsed")
+    # stated numbers of partitions: adaptive execution would merge few bytes, however much there is to compute on them
+    n = 2 * found.sparkSession.sparkContext.defaultParallelism
+    parsed = write_table(found.repartition(n, "spelling").mapInArrow(_parse, "spelling string, kind string, anchor string, rest string"), "parsed")
     close = neighbour_words(parsed.select("anchor").distinct(), "anchor")
     # blocks are named by a hash; should two collide, their spellings are still told apart by their words
     links = connected_components(close.select(F.xxhash64("a").alias("src"), F.xxhash64("b").alias("dst")), **grid)
     own = F.xxhash64("anchor")
     blocked = parsed.withColumn("vertex", own).join(links, "vertex", "left").select("kind", F.coalesce("component", "vertex").alias("block"), "spelling", "rest")
-    return blocked.repartition("kind", "block").sortWithinPartitions("kind", "block").mapInArrow(_group, "spelling string, entity string").distinct()
+    return blocked.repartition(n, "kind", "block").sortWithinPartitions("kind", "block").mapInArrow(_group, "spelling string, entity string").distinct()
 
 
 def spelling_pairs(mentions: DataFrame, **grid) -> DataFrame:
