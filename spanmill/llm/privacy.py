@@ -80,31 +80,39 @@ _NOT_SURNAMES = frozenset(
 
 def _names(given: frozenset[str], plain: frozenset[str]):
     """A function text -> stretches of names; ``given`` in any usual case, ``plain`` also where all is lower case."""
-    title = sorted({g.capitalize() for g in given} | {g.upper() for g in given}, key=lambda g: (-len(g), g))
-    first = rf"(?:{'|'.join(map(regex.escape, title))})"
-    forward = regex.compile(rf"(?<![\p{{L}}\p{{N}}_@.&'’-])(?:{first}(?:{_GAP}{_INITIAL})*|{_INITIAL}(?:{_GAP}?{_INITIAL})*){_GAP}?(?<={_GAP}|\.){_SURNAME}")
-    backward = regex.compile(rf"(?<![\p{{L}}\p{{N}}_@.&'’-]){_SURNAME},{_GAP}(?:{first}(?:{_GAP}{_INITIAL})*(?![\p{{L}}\p{{N}}'’-])(?!{_GAP}{_PARTICLE}\p{{Lu}}[\p{{L}}])|{_INITIAL}(?:{_GAP}?{_INITIAL})*(?!{_GAP}?\p{{Lu}}))")
+    title = {g.capitalize() for g in given} | {g.upper() for g in given}
+    # a capitalised word or initials; whether it is a given name is looked up, not matched
+    opening = regex.compile(rf"(?<![\p{{L}}\p{{N}}_@.&'’-])(?:(?P<first>\p{{Lu}}\p{{L}}+)|{_INITIAL}(?:{_GAP}?{_INITIAL})*)")
+    rest = regex.compile(rf"(?:{_GAP}{_INITIAL})*{_GAP}?(?<={_GAP}|\.){_SURNAME}")
+    rest_initials = regex.compile(rf"{_GAP}?{_SURNAME}")
+    front = regex.compile(rf"(?<![\p{{L}}\p{{N}}_@.&'’-]){_SURNAME},{_GAP}$")
+    tail = regex.compile(rf"(?:{_GAP}{_INITIAL})*(?![\p{{L}}\p{{N}}'’-])(?!{_GAP}{_PARTICLE}\p{{Lu}}[\p{{L}}])")
+    tail_initials = regex.compile(rf"(?!{_GAP}?\p{{Lu}})")
     lower = regex.compile(rf"(?<![\p{{L}}\p{{N}}_@.+-])(?:{'|'.join(map(regex.escape, sorted(plain, key=lambda g: (-len(g), g))))}){_GAP}(?:[a-z]\.{_GAP})?(?:(?:van|von|al-|de){_GAP}?)?\p{{Ll}}[\p{{L}}\p{{M}}-]{{3,}}(?![\p{{L}}@_+])") if plain else None
     french = regex.compile(r"\b(?:selon|sauf|n['’]était|personne|déclaré|comité|après|entreprise|était|rapport|écrivez|appelez|veuillez|monsieur)\b", regex.I)
 
     def find(text: str):
         is_french = len(set(x.lower() for x in french.findall(text))) >= 2
-        for m in forward.finditer(text):
-            a, b = m.span()
-            word = _POSSESSIVE.sub("", text[a:b])
-            b = a + len(word)
-            last = regex.split(r"[ \t   .]", word)[-1]
-            if last.lower().strip("'’") in _NOT_SURNAMES or len(last) < 2:
+        end = 0
+        for m in opening.finditer(text):
+            first = m["first"]
+            if first is not None and first not in title:
                 continue
-            if is_french and regex.match(rf"M\.{_GAP}\p{{Lu}}[\p{{L}}'’-]+$", word):
-                continue  # Monsieur and a bare surname
-            if regex.match(r"[\p{Lu}.]*P\.[ ]?O\.", word):
-                continue
-            yield a, b
-        for m in backward.finditer(text):
-            a, b = m.span()
-            if text[a:b].split(",")[0].lower() not in _NOT_SURNAMES and not regex.search(r"(?:Dear|In|On|At|From|To|Near|Port|Lake|East|New|West|North|South|Mount|Dr|Mr|Ms|Mrs|Prof)[. ]+$", text[max(0, a - 6) : a]):
-                yield a, b
+            a, at = m.span()
+            if a >= end and (r := (rest if first else rest_initials).match(text, at)):
+                word = _POSSESSIVE.sub("", text[a : r.end()])
+                end = r.end()
+                last = regex.split(r"[ \t   .]", word)[-1]
+                if last.lower().strip("'’") in _NOT_SURNAMES or len(last) < 2:
+                    pass
+                elif is_french and regex.match(rf"M\.{_GAP}\p{{Lu}}[\p{{L}}'’-]+$", word):
+                    pass  # Monsieur and a bare surname
+                elif not regex.match(r"[\p{Lu}.]*P\.[ ]?O\.", word):
+                    yield a, a + len(word)
+            if a > 2 and text[a - 2] == "," and (t := (tail if first else tail_initials).match(text, at)) and (f := front.search(text[max(0, a - 60) : a])):
+                begin = a - len(f[0])
+                if f[0].split(",")[0].lower() not in _NOT_SURNAMES and not regex.search(r"(?:Dear|In|On|At|From|To|Near|Port|Lake|East|New|West|North|South|Mount|Dr|Mr|Ms|Mrs|Prof)[. ]+$", text[max(0, begin - 6) : begin]):
+                    yield begin, t.end()
         if lower:
             for m in lower.finditer(text):
                 last = regex.split(_GAP, m[0])[-1]
@@ -117,6 +125,9 @@ def _names(given: frozenset[str], plain: frozenset[str]):
     return find
 
 
+#: An address with its signs in words has one of these.
+spelled = regex.compile(r"[\[({] ?(?i:at) ?[\])}]|[\[({] ?(?i:dot) ?[\])}]| (?:DOT|dot) ")
+
 #: Short forms that are also words; in lower case they are no names.
 _WORDS = frozenset("bill dick sue will rich pat hank mick kit rob ed ted hal ella nell jo lu ant mei art mark beth".split())
 
@@ -133,7 +144,7 @@ def finder(given: frozenset[str] | None = None):
             if a < b and not any(a < y and x < b for x, y, _ in spans):
                 spans.append((a, b, kind))
 
-        if "@" in text or "＠" in text or regex.search(r"(?i)\b(?:at|dot)\b", text):
+        if "@" in text or "＠" in text or spelled.search(text):
             for m in EMAIL.finditer(text):
                 take(*m.span(), "email")
         if regex.search(r"\d", text):
