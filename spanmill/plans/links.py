@@ -58,17 +58,36 @@ def acronym_alias(spark: SparkSession, sf: str) -> DataFrame:
     return p.filter(X.alias(X.pair_getter("ana"), X.pair_getter("ante"))).groupBy("doc_id", "ana_idx").agg(F.count(F.lit(1)).alias("n_aliases"), F.max("ante_idx").cast("long").alias("closest"))
 
 
-def feature_assembly(spark: SparkSession, sf: str) -> DataFrame:
-    """Feature strings of the pairs of one annotated entity: the plain ones and all with their combinations."""
-    m = with_strings(mentions(spark, sf, *_RULE, "deprel", "governor", "ancestry", "annotated_set_id")).filter("mention_idx > 0 AND annotated_set_id IS NOT NULL")
+_ASSEMBLED = ["fine_type", "gender", "number", "sem_class", "head"], ["exact_match", "head_match", "same_speaker", "sentence_distance", "tokens_contained"]
+
+
+def _assembly_mentions(spark: SparkSession, sf: str) -> DataFrame:
+    m = with_strings(mentions(spark, sf, *_RULE, "deprel", "governor", "ancestry", "annotated_set_id")).filter("mention_idx > 0")
     m = rules.with_rule_columns(m).withColumns({"preceding_token": F.lit(None).cast("string"), "next_token": F.lit(None).cast("string")})
-    names, both = ["fine_type", "gender", "number", "sem_class", "head"], ["exact_match", "head_match", "same_speaker", "sentence_distance", "tokens_contained"]
-    m = m.withColumn("feature_values", X.mention_values(names)).withColumn("_key", F.struct("doc_id", "annotated_set_id"))
+    return m.withColumn("feature_values", X.mention_values(_ASSEMBLED[0]))
+
+
+def feature_assembly(spark: SparkSession, sf: str) -> DataFrame:
+    """The first feature strings of the pairs of one annotated entity, as its SQL has them; :func:`feature_assembly_all` has all of all pairs."""
+    m = _assembly_mentions(spark, sf).filter("annotated_set_id IS NOT NULL").withColumn("_key", F.struct("doc_id", "annotated_set_id"))
     p = backward_pairs(m, [f for f in pipeline.FIELDS if f in m.columns], doc="_key")
-    s = X.feature_strings(names, both)
+    s = X.feature_strings(*_ASSEMBLED)
     return p.select(F.col("_key.doc_id").alias("doc_id"), "ana_idx", "ante_idx", F.size(s).alias("n_features"), F.array_join(F.array_sort(F.slice(s, 1, 18)), " ").alias("some_features"))
 
 
+def feature_assembly_all(spark: SparkSession, sf: str) -> DataFrame:
+    """All feature strings, plain and combined, of all pairs of a document: of each anaphor the pairs, the strings and the sum of the strings' CRC-32."""
+    m = _assembly_mentions(spark, sf)
+    needed = ["sent_id", "speaker", "tokens_as_lowercase_string", "head_as_lowercase_string", "feature_values"]
+    # (n, sum) of a pair from one pass over its strings
+    of_pair = F.aggregate(
+        X.feature_strings(*_ASSEMBLED), F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("crc")),
+        lambda t, w: F.struct((t["n"] + 1).alias("n"), (t["crc"] + F.crc32(w.cast("binary"))).alias("crc")),
+    )
+    p = backward_pairs(m, needed).select("doc_id", "ana_idx", of_pair.alias("_f"))
+    return p.groupBy("doc_id", "ana_idx").agg(F.count(F.lit(1)).alias("n_pairs"), F.sum("_f.n").alias("n_features"), F.sum("_f.crc").alias("crc_sum"))
+
+
 def _rule_mentions(spark: SparkSession, sf: str) -> DataFrame:
     return mentions(spark, sf, *_RULE)
 
@@ -166,7 +185,7 @@ def predict_entities(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        candidate_pairs_ranking, candidate_pairs_train, pair_features_string, pair_features_distance, pair_features_overlap, acronym_alias, feature_assembly, rule_edges, rule_antecedent, rule_clusters,
+        candidate_pairs_ranking, candidate_pairs_train, pair_features_string, pair_features_distance, pair_features_overlap, acronym_alias, feature_assembly, feature_assembly_all, rule_edges, rule_antecedent, rule_clusters,
         arc_score_sparse, argmax_antecedent, argmax_closest_gold, tree_consistency, pair_decode_best_first, cluster_forest, perceptron_train,
     )
 }

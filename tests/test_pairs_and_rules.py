@@ -1,3 +1,5 @@
+import zlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -6,6 +8,7 @@ from spanmill.functions import features as X
 from spanmill.functions import rules
 from spanmill.operators import analysis, cluster, decode, learn, pipeline, resolve
 from spanmill.operators.pairs import backward_pairs, ranked, training_pairs, with_nothing_between
+from spanmill.plans import links
 
 SCHEMA = (
     "doc_id string, mention_idx int, span struct<begin:int,end:int>, sent_id int, tokens array<string>, pos array<string>, ner array<string>, head array<string>, head_span struct<begin:int,end:int>, head_index int, "
@@ -117,6 +120,32 @@ def test_feature_strings(spark):
     assert s == ["ana_fine_type=DEF", "ante_fine_type=DEF", "ana_fine_type=DEF^ante_fine_type=DEF", "head_match=True", "ana_fine_type=DEF^head_match=True", "ante_fine_type=DEF^head_match=True", "ana_fine_type=DEF^ante_fine_type=DEF^head_match=True"]
 
 
+def test_all_features_of_all_pairs(spark, monkeypatch):
+    rows = [r.asDict() for r in story(spark).collect()]
+    monkeypatch.setattr(links, "mentions", lambda s, sf, *columns: story(s))
+    yes = lambda n, x: [f"{n}=True"] if x else []
+
+    def values(x):
+        return [{"NOM": x["fine_type"], "PRO": x["citation_form"]}.get(x["type"], x["type"]), x["gender"], x["number"], x["semantic_class"], x["head_as_lowercase_string"]]
+
+    def strings(a, b):
+        names = ["fine_type", "gender", "number", "sem_class", "head"]
+        own, other = ([f"{k}_{n}={v}" for n, v in zip(names, values(x), strict=True)] for k, x in (("ana", a), ("ante", b)))
+        t, u, h, i = (x[f"{k}_as_lowercase_string"] for k in ("tokens", "head") for x in (a, b))
+        far = a["sent_id"] - b["sent_id"]
+        plain = own + other + [f"{x}^{y}" for x, y in zip(own, other, strict=True)]
+        plain += yes("exact_match", t == u) + yes("head_match", h == i) + yes("same_speaker", a["speaker"] == b["speaker"]) + [f"sentence_distance={'>=5' if far >= 5 else far}"] + yes("tokens_contained", t in u or u in t)
+        return plain + [f"{plain[k]}^{x}" for k in (0, 5, 10) for j, x in enumerate(plain) if j not in (0, 5, 10)]
+
+    want = {}
+    for a in rows:
+        every = [strings(a, b) for b in rows if b["doc_id"] == a["doc_id"] and b["mention_idx"] < a["mention_idx"]]
+        if every:
+            want[a["doc_id"], a["mention_idx"]] = (len(every), sum(map(len, every)), sum(zlib.crc32(x.encode()) for s in every for x in s))
+    got = {(r["doc_id"], r["ana_idx"]): (r["n_pairs"], r["n_features"], r["crc_sum"]) for r in links.QUERIES["feature_assembly_all"](spark, "").collect()}
+    assert got == want and sum(n for n, _, _ in got.values()) == 15
+
+
 def test_murmur_and_names(spark):
     assert X.murmur3(b"") == 0 and X.murmur3(b"abcde") == (-392455434) & 0xFFFFFFFF and X.murmur3(b"abcd", 42) != X.murmur3(b"abcd")
     df = spark.createDataFrame([(["abcde", ""],), (None,)], "s array<string>")
