@@ -10,7 +10,7 @@ from ..functions import rules
 from ..operators import cluster, decode, pipeline, resolve
 from ..operators import learn as L
 from ..operators.pairs import backward_pairs, training_pairs
-from .base import E_, M, event_mentions, mentions, with_strings
+from .base import E_, M, event_mentions, mentions, tokens, with_strings
 
 _RULE = ["doc_id", "mention_idx", "span", "sent_id", "tokens", "pos", "ner", "head", "head_span", "head_index", "type", "fine_type", "citation_form", "number", "gender", "semantic_class", "grammatical_function", "speaker"]
 
@@ -101,13 +101,19 @@ def rule_edges(spark: SparkSession, sf: str) -> DataFrame:
     return p.groupBy("doc_id").agg(*[_n(f()).alias(n) for n, f in names.items() if n not in skip])
 
 
+def _rule_graph(spark: SparkSession, sf: str) -> DataFrame:
+    return resolve.edges(_rule_mentions(spark, sf), tokens=tokens(spark, sf, "doc_id", "tok_idx", "speaker"))
+
+
 def rule_antecedent(spark: SparkSession, sf: str) -> DataFrame:
-    best = resolve.best_antecedents(resolve.edges(_rule_mentions(spark, sf)))
+    """The SQL has no test for third speakers and differs where one is between i and you."""
+    best = resolve.best_antecedents(_rule_graph(spark, sf))
     return best.select("doc_id", "ana_idx", "ante_idx", F.round("weight", 6).alias("weight"))
 
 
 def rule_clusters(spark: SparkSession, sf: str) -> DataFrame:
-    return resolve.entities(resolve.best_antecedents(resolve.edges(_rule_mentions(spark, sf))))
+    """Differs from its SQL as :func:`rule_antecedent` does."""
+    return resolve.entities(resolve.best_antecedents(_rule_graph(spark, sf)))
 
 
 # events as mentions: arcs with five features, entities by event type

@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import pytest
@@ -6,8 +7,8 @@ from pyspark.sql import functions as F
 from spanmill.functions import attributes as A
 from spanmill.functions import features as X
 from spanmill.functions import rules
-from spanmill.operators import analysis, cluster, decode, learn, pipeline, resolve
-from spanmill.operators.pairs import backward_pairs, ranked, training_pairs, with_nothing_between
+from spanmill.operators import analysis, cluster, context, decode, learn, pipeline, resolve
+from spanmill.operators.pairs import backward_pairs, nothing_between, ranked, training_pairs, with_nothing_between, with_speakers_ahead
 from spanmill.plans import links
 
 SCHEMA = (
@@ -93,6 +94,37 @@ def test_speakers(spark):
     assert got[4, 2] == (False, True)
 
 
+@pytest.mark.parametrize("block", [3, 8_192])
+def test_third_speakers_by_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(context.islands, "__defaults__", (block,))
+    rng = random.Random(5)
+    said = {d: [rng.choice(who) for _ in range(n)] for d, who, n in (("a", ["A", "B"], 9), ("b", ["A", "B", None, "C"], 14), ("c", ["A", "A", "A", "B", "B", "D"], 24), ("d", ["A"], 4))}
+    t = spark.createDataFrame([(d, i, s) for d, who in said.items() for i, s in enumerate(who)], "doc_id string, tok_idx int, speaker string")
+    rows = [(d, k, (b, min(b + k % 2, len(who) - 1)), "PRO", rng.choice([who[b], who[b], None])) for d, who in said.items() for k, b in enumerate(rng.sample(range(len(who)), len(who)), 1)]
+    df = spark.createDataFrame(rows, "doc_id string, mention_idx int, span struct<begin:int,end:int>, type string, speaker string")
+    p = with_nothing_between(backward_pairs(with_speakers_ahead(df, t), ["span", "type", "speaker", "speakers_ahead"]), t)
+    n = 0
+    for r in p.withColumn("new", nothing_between()).collect():
+        who, a, b = said[r["doc_id"]], r["ana"], r["ante"]
+        two = [x["speaker"] or who[x["span"]["begin"]] for x in (a, b)]
+        want = all(s in two for s in who[min(a["span"]["begin"], b["span"]["begin"]) : max(a["span"]["end"], b["span"]["end"]) + 1])
+        assert r["new"] == want, r
+        if a["speaker"] and b["speaker"] and a["speaker"] != b["speaker"]:
+            assert r["nothing_between"] == want, r
+        n += not want
+    assert n > 50
+
+
+@pytest.mark.parametrize("name", ["rule_antecedent", "rule_clusters"])
+def test_queries_see_third_speakers(spark, monkeypatch, name):
+    rows = [m(1, "i", "PRP", "PRO", 0, citation_form="i", speaker="A"), m(2, "you", "PRP", "PRO", 2, citation_form="you", speaker="B"), m(3, "you", "PRP", "PRO", 5, citation_form="you", speaker="D")]
+    t = spark.createDataFrame([("d", i, s) for i, s in enumerate("AABBCD")], "doc_id string, tok_idx int, speaker string")
+    monkeypatch.setattr(links, "mentions", lambda s, sf, *columns: spark.createDataFrame(rows, SCHEMA))
+    monkeypatch.setattr(links, "tokens", lambda s, sf, *columns: t)
+    got = {tuple(r)[1:3] for r in links.QUERIES[name](spark, "").collect()}
+    assert got == ({(2, 1)} if name == "rule_antecedent" else {(1, 1), (2, 1)})
+
+
 def values(spark, expression, a, b):
     df = spark.createDataFrame([(a, b)], "a array<string>, b array<string>")
     return df.select(expression(F.col("a"), F.col("b")).alias("x")).first()["x"]
