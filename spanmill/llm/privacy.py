@@ -2,6 +2,9 @@
 
 Texts are scanned in Arrow batches by one pattern per kind; stretches that
 overlap are resolved by kind, and a name needs a known given name or initials.
+Where all is lower case, initials and given names that are short or also words
+are only candidates: what the corpus shows of the surname decides (see
+:func:`_confirmed`), looked up by joins.
 Stretches become typed placeholders with a pseudonym.  The digits of phone and
 identity numbers are permuted by a keyed Feistel network within their format, so
 equal numbers stay linked across documents and can be told apart; other kinds get
@@ -11,11 +14,14 @@ a keyed tag of the normalised value.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
+from ..storage import write_table
 from .given_names import short_forms
 
 KINDS = ("email", "id_number", "phone", "address", "name")  # in order of precedence
@@ -198,22 +204,121 @@ def pseudonym(found: str, kind: str, key: bytes) -> str:
     return hashlib.blake2b(f"{kind}:{value}".encode(), key=key, digest_size=5).hexdigest()
 
 
-def _scan(given, find_only: bool, key: bytes):
+_LAST = rf"(?:(?:van|von|de|al){_GAP}|al-)?(?P<last>\p{{Ll}}[\p{{L}}\p{{M}}-]+)(?<!-)"
+
+
+def candidates(given: frozenset[str] | None = None):
+    """text, its stretches -> (begin, end, kind of evidence needed, surname) of names in lower case that only the corpus can decide."""
+    known = given or frozenset(short_forms())
+    either = lambda names: "|".join(map(regex.escape, sorted(names, key=lambda g: (-len(g), g)))) or r"(?!)"
+    words, short = either(known & _WORDS), either(g for g in known - _WORDS if len(g) <= 3)
+    clear, initials = r"(?<![\p{L}\p{N}_@.+&'’-])", rf"[a-z]\.(?:{_GAP}?[a-z]\.)*"
+    forward = regex.compile(rf"{clear}(?:(?:(?P<word>{words})|{short})(?:{_GAP}[a-z]\.)*|{initials}){_GAP}{_LAST}(?![\p{{L}}@_+]|\.\p{{L}})")
+    back = regex.compile(rf"{clear}{_LAST},{_GAP}(?:{initials}|(?:{words}|{short})(?:{_GAP}[a-z]\.)*(?![\p{{L}}\p{{N}}@'’-]))")
+
+    def find(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int, int, str, str]]:
+        out, ends = [], set()
+        for pattern in (forward, back):
+            for m in pattern.finditer(text, overlapped=True):
+                a, b = m.span()
+                if (pattern, m.end("last")) in ends or m["last"] in _NOT_SURNAMES or any(a < y and x < b for x, y, _ in taken):
+                    continue
+                ends.add((pattern, m.end("last")))  # of equal ends the first begin
+                out.append((a, b, "more" if pattern is back or m["word"] else "either" if len(m["last"]) > 3 else "seen", m["last"]))
+        return out
+
+    return find
+
+
+def _capital_surname(name: str) -> str | None:
+    """The surname in lower case of a name that writes it with a capital."""
+    last = name.split(",")[0] if "," in name else regex.split(r"[ \t   .]", name)[-1]
+    last = regex.split(r"[ \t   ]", last)[-1]
+    return last.lower() if last[:1].isupper() else None
+
+
+_SCANNED = "text_hash long, begin int, end int, role string, kind string, found string, surname string, n int"
+_AROUND = ".,;:!?\"'()[]{}<>’‘“”*/"
+
+
+def _scan_all(given, many: int = 50_000):
+    """Rows of three roles: stretches that are sure, candidates (role: the evidence they need), and per surname or word that one was seen."""
+
+    def run(batches):
+        find, unsure = finder(given), candidates(given)
+        schema = None
+        surnames: Counter[str] = Counter()  # texts that have it
+        words: Counter[str] = Counter()
+
+        def seen():
+            plain: Counter[str] = Counter()
+            for x, n in words.items():
+                if len(w := regex.sub(r"['’]s$", "", x.strip(_AROUND))) > 1 and w[0].islower():
+                    plain[w] += n
+            rows = [("surname", *x) for x in surnames.items()] + [("ordinary", *x) for x in plain.items()]
+            surnames.clear()
+            words.clear()
+            return pa.RecordBatch.from_pylist([{"role": r, "surname": w, "n": n} for r, w, n in rows], schema=schema)
+
+        for batch in batches:
+            key = batch.schema.field(0)
+            schema = pa.schema([pa.field(key.name, key.type), ("text_hash", pa.int64()), ("begin", pa.int32()), ("end", pa.int32()), ("role", pa.string()), ("kind", pa.string()), ("found", pa.string()), ("surname", pa.string()), ("n", pa.int32())])
+            rows = []
+            for k, text, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                spans = find(text)
+                maybe = unsure(text, spans)
+                rows += [(k, None, None, None, "sure", kind, f, None, None) for kind, f in dict.fromkeys((kind, text[a:b]) for a, b, kind in spans)]
+                rows += [(k, h, a, b, role, "name", text[a:b], last, None) for a, b, role, last in maybe]
+                surnames.update({x for a, b, kind in spans if kind == "name" and (x := _capital_surname(text[a:b]))})
+                rest, at = [], 0
+                for a, b, *_ in sorted([*spans, *maybe]):
+                    rest.append(text[at : max(at, a)])
+                    at = max(at, b)
+                words.update(set(" ".join([*rest, text[at:]]).split()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)] if rows else [pa.array([], f.type) for f in schema], schema=schema)
+            if len(words) + len(surnames) > many:
+                yield seen()
+        if schema:
+            yield seen()
+
+    return run
+
+
+def _scanned(documents: DataFrame, key: str, text: str, given: frozenset[str] | None) -> DataFrame:
+    """What the one scan of all texts gives, written, as it is read for stretches, candidates and evidence."""
+    kind = dict(documents.dtypes)[key]
+    rows = documents.select(key, text, F.xxhash64(text).alias("_h")).filter(f"length(`{text}`) > 0")
+    return write_table(rows.mapInArrow(_scan_all(given), f"`{key}` {kind}, {_SCANNED}").withColumnRenamed(key, "_key"), "personal")
+
+
+def _confirmed(scanned: DataFrame) -> DataFrame:
+    """(_key, text_hash, names): of each text the candidates that the corpus confirms, from left to right without overlaps.
+
+    After initials and short given names the surname must be seen with a capital
+    in a sure name, or nowhere as an ordinary word; after a given name that is
+    also a word, and before a comma, in more texts as a surname than as a word.
+    """
+    of = lambda role: scanned.filter(F.col("role") == role).groupBy("surname").agg(F.sum("n").alias(f"_{role}"))
+    c = scanned.filter(F.col("role").isin("either", "more", "seen")).join(of("surname"), "surname", "left").join(of("ordinary"), "surname", "left")
+    named, plain = F.coalesce("_surname", F.lit(0)), F.coalesce("_ordinary", F.lit(0))
+    right: Column = F.when(F.col("role") == "more", named > plain).when(F.col("role") == "seen", named > 0).otherwise((named > 0) | (plain == 0))
+    each = F.array_sort(F.collect_set(F.struct("begin", "end", "found")))
+    apart = F.aggregate("_all", F.expr("CAST(array() AS array<struct<begin:int,end:int,found:string>>)"), lambda t, x: F.when(F.exists(t, lambda y: y["end"] > x["begin"]), t).otherwise(F.concat(t, F.array(x))))
+    return c.filter(right).groupBy("_key", "text_hash").agg(each.alias("_all")).select("_key", "text_hash", apart.alias("names"))
+
+
+def _replace(given, key: bytes):
     def run(batches):
         find = finder(given)
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
-            if find_only:
-                rows = [(i, k, f) for i, text in enumerate(texts) if text for k, f in dict.fromkeys((k, text[a:b]) for a, b, k in find(text))]
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array([i for i, _, _ in rows], pa.int64())), pa.array([k for _, k, _ in rows], pa.string()), pa.array([f for *_, f in rows], pa.string())], names=[batch.schema.names[0], "kind", "found"])
-                continue
+            ids, texts, more = batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist()
             out = []
-            for text in texts:
+            for text, extra in zip(texts, more, strict=True):
                 if not text:
                     out.append(text)
                     continue
                 parts, at = [], 0
-                for a, b, kind in find(text):
+                for a, b, kind in sorted(find(text) + [(x["begin"], x["end"], "name") for x in extra or []]):
                     parts += [text[at:a], f"[{kind.upper()} {pseudonym(text[a:b], kind, key)}]"]
                     at = b
                 out.append("".join(parts) + text[at:])
@@ -224,12 +329,19 @@ def _scan(given, find_only: bool, key: bytes):
 
 def find_personal(documents: DataFrame, key: str = "doc_id", text: str = "text", given: frozenset[str] | None = None) -> DataFrame:
     """(key, kind, found): the stretches, each once per document and kind; null and empty texts have none."""
-    kind = dict(documents.dtypes)[key]
-    return documents.select(key, text).filter(f"length(`{text}`) > 0").mapInArrow(_scan(given, True, b""), f"`{key}` {kind}, kind string, found string")
+    s = _scanned(documents, key, text, given)
+    more = _confirmed(s).select("_key", F.explode("names.found").alias("found")).select("_key", F.lit("name").alias("kind"), "found").distinct()
+    sure = s.filter("role = 'sure'").select("_key", "kind", "found")
+    # a name may be sure in one place and a candidate in another
+    more = more.join(sure.select(F.col("_key").alias("_k"), F.col("kind").alias("_kind"), F.col("found").alias("_f")), F.expr("_key <=> _k AND kind = _kind AND found = _f"), "left_anti")
+    return sure.unionByName(more).withColumnRenamed("_key", key)
 
 
 def redact_personal(documents: DataFrame, key: str = "doc_id", text: str = "text", secret: str = "spanmill", given: frozenset[str] | None = None) -> DataFrame:
     """(key, text): each stretch replaced by ``[KIND pseudonym]``, the rest unchanged; null and empty texts stay."""
     assert secret
     kind = dict(documents.dtypes)[key]
-    return documents.select(key, text).mapInArrow(_scan(given, False, secret.encode()[:64]), f"`{key}` {kind}, `{text}` string")
+    more = _confirmed(_scanned(documents, key, text, given))
+    rows = documents.select(key, text, F.xxhash64(text).alias("_h"))
+    rows = rows.join(more, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_h") == F.col("text_hash")), "left").select(key, text, "names")
+    return rows.mapInArrow(_replace(given, secret.encode()[:64]), f"`{key}` {kind}, `{text}` string")

@@ -74,6 +74,27 @@ def test_find_and_redact(spark):
     assert privacy.find_personal(df.limit(0)).count() == 0
 
 
+LOWER = [
+    ("Susan Huorg and K. Saorg met Tom Dearo, Peggy Page, dearo and Joe Smith.", {"Susan Huorg", "K. Saorg", "Tom Dearo", "Peggy Page", "Joe Smith"}),
+    ("B: tom huorg and Senator mei dearo, photographed q. saorg and m. c. saorg's boat; huorg, q. said", {"tom huorg", "mei dearo", "q. saorg", "m. c. saorg", "huorg, q."}),
+    ("They will huorg, rich dearo and bill smith.", {"will huorg", "rich dearo", "bill smith"}),
+    ("whom v. unseenik watched, jon nihiith too. Bob Dearo", {"v. unseenik", "jon nihiith", "Bob Dearo"}),
+    ("A plan b. then page the will page and art house of vitamin c. however, i.e. they, the house however", set()),
+    ("mail tom huorg@x.test or will leave; the leave, then page", set()),
+]
+
+
+def test_names_in_lower_case_are_decided_by_the_corpus(spark):
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(LOWER)] + [(None, LOWER[1][0]), (90, None), (91, "")], "doc_id long, text string").repartition(3)
+    got = {(r["doc_id"], r["found"]) for r in privacy.find_personal(df).filter("kind = 'name'").collect()}
+    assert got == {(i, n) for i, (_, names) in enumerate(LOWER) for n in names} | {(None, n) for n in LOWER[1][1]}
+    out = {r["doc_id"]: r["text"] for r in privacy.redact_personal(df).collect()}
+    assert len(out) == len(LOWER) + 3 and out[90] is None and out[91] == "" and out[4] == LOWER[4][0]
+    for i, (text, names) in enumerate(LOWER):
+        assert out[i].count("[NAME ") == len(names) and not any(n in out[i] for n in names), text
+    assert out[None] == out[1] and privacy.redact_personal(df.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("digits", ["", "7", "42", "0071234567", "123456789", "0" * 30])
 def test_permutation_can_be_undone(digits):
     for key in (b"a", b"b"):
