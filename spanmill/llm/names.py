@@ -269,10 +269,10 @@ def _group(batches):
     block, rows = None, []
 
     def flush():
-        if len(rows) < 2:
+        if not rows:
             return [], []
         groups = _persons(rows, given) if block[0] == "PERSON" else _organisations(rows)
-        named = [(s, f"{block[0]}|{block[1]}|{g[0]}") for g in groups if len(g) > 1 for s in g]
+        named = [(s, f"{block[0]}|{block[1]}|{g[0]}") for g in groups for s in g]
         return [s for s, _ in named], [e for _, e in named]
 
     for b in batches:
@@ -290,22 +290,26 @@ def _group(batches):
 
 
 def spellings(mentions: DataFrame, tokens: str = "tokens", kind: str = "type", tags: str = "ner") -> DataFrame:
-    """(spelling, kind) of the distinct name spellings; kind is PERSON or ORG, by the tag that most of its tokens have.
+    """(typed, spelling, kind) of the distinct name spellings.
 
-    A spelling is the tokens joined by blanks, without a final "'s", trimmed, in
-    lower case.  Null and empty token lists and names of other kinds are left out.
+    ``typed`` is the spelling as it stands: the tokens joined by blanks, without a
+    final "'s".  ``spelling`` is the same trimmed and in lower case, which is what
+    variants are compared by; kind is PERSON or ORG, by the tag that most tokens
+    of all mentions of it have.  Null and empty token lists and names of other
+    kinds are left out.
     """
     t = F.col(tokens)
     core = F.when(F.element_at(t, -1) == "'s", F.slice(t, 1, F.size(t) - 1)).otherwise(t)
-    named = mentions.filter((F.upper(F.trim(F.col(kind))) == "NAM") & (F.size(t) > 0)).select(F.lower(F.trim(F.array_join(core, " "))).alias("spelling"), F.col(tags).alias("tags"))
-    count = lambda tag: F.size(F.filter("tags", lambda x: F.upper(x) == tag))
-    votes = named.filter("spelling <> ''").groupBy("spelling").agg(F.sum(F.when(F.col("tags").isNotNull(), count("PERSON"))).alias("p"), F.sum(F.when(F.col("tags").isNotNull(), count("ORG"))).alias("o"))
+    count = lambda tag: F.coalesce(F.size(F.filter(F.col(tags), lambda x: F.upper(x) == tag)), F.lit(0))
+    named = mentions.filter((F.upper(F.trim(F.col(kind))) == "NAM") & (F.size(t) > 0)).select(F.array_join(core, " ").alias("typed"), F.greatest(count("PERSON"), F.lit(0)).alias("p"), F.greatest(count("ORG"), F.lit(0)).alias("o"))
+    each = named.groupBy("typed").agg(F.sum("p").alias("p"), F.sum("o").alias("o")).withColumn("spelling", F.lower(F.trim("typed"))).filter("spelling <> ''")
+    folded = each.groupBy("spelling").agg(F.sum("p").alias("p"), F.sum("o").alias("o"), F.collect_list("typed").alias("typed"))
     kinds = F.when((F.col("p") > 0) & (F.col("p") >= F.col("o")), "PERSON").when(F.col("o") > 0, "ORG")
-    return votes.select("spelling", kinds.alias("kind")).filter("kind IS NOT NULL")
+    return folded.select(F.explode("typed").alias("typed"), "spelling", kinds.alias("kind")).filter("kind IS NOT NULL")
 
 
 def entities(found: DataFrame, **grid) -> DataFrame:
-    """(spelling, entity) of the spellings that share an entity with another one; ``found`` as from :func:`spellings`."""
+    """(spelling, entity) of the spellings that can be read as a name; ``found`` has ``spelling`` and ``kind``, each spelling once."""
     # stated numbers of partitions: adaptive execution would merge few bytes, however much there is to compute on them
     n = 2 * found.sparkSession.sparkContext.defaultParallelism
     parsed = write_table(found.repartition(n, "spelling").mapInArrow(_parse, "spelling string, kind string, anchor string, rest string"), "parsed")
@@ -318,7 +322,12 @@ def entities(found: DataFrame, **grid) -> DataFrame:
 
 
 def spelling_pairs(mentions: DataFrame, **grid) -> DataFrame:
-    """(spelling_a, spelling_b), a before b by code points: different spellings of one person or organisation, each pair once."""
-    e = write_table(entities(spellings(mentions), **grid), "entities")
-    a, b = e.select("entity", F.col("spelling").alias("spelling_a")), e.select("entity", F.col("spelling").alias("spelling_b"))
+    """(spelling_a, spelling_b), a before b by code points: different spellings, as typed, of one person or organisation, each pair once.
+
+    Spellings that differ only in letter case are different.
+    """
+    typed = write_table(spellings(mentions), "typed")
+    e = entities(typed.select("spelling", "kind").distinct(), **grid)
+    e = write_table(e.join(typed.select("spelling", "typed"), "spelling").select("entity", "typed"), "entities")
+    a, b = e.select("entity", F.col("typed").alias("spelling_a")), e.select("entity", F.col("typed").alias("spelling_b"))
     return a.join(b, "entity").filter("spelling_a < spelling_b").select("spelling_a", "spelling_b").distinct()
