@@ -57,11 +57,11 @@ def p6_terms(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
-    return tokenizer.encode(_documents(spark, sf)).select("doc_id", "ids")
+    return tokenizer.encode(_documents(spark, sf), keep_text=False)
 
 
 def p8_containers(spark: SparkSession, sf: str) -> DataFrame:
-    return packing.pack(p7_ids(spark, sf).select("doc_id", F.size("ids").alias("n_tokens")))
+    return packing.pack(tokenizer.sizes(_documents(spark, sf), keep_text=False))
 
 
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:

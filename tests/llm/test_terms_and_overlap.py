@@ -109,7 +109,7 @@ def test_packing(spark):
 
 
 def test_sweep_is_best_fit():
-    """The runs give the same containers as placing one document after the other into the tightest gap."""
+    """The sweep gives the same containers as trying all gaps for one document after the other."""
     rng = random.Random(9)
     for _ in range(30):
         sizes = sorted((rng.randrange(1, 30) for _ in range(60)), reverse=True)
@@ -119,5 +119,19 @@ def test_sweep_is_best_fit():
             if fits:
                 gaps.remove(min(fits))
             gaps.append((min(fits) if fits else 30) - s)
-        boxes = max(first + (hi - lo - 1) // per for _, lo, hi, per, first in packing.sweep({s: sizes.count(s) for s in sizes}, 30)) + 1
-        assert boxes == len(gaps)
+        boxes, left, opened = packing.sweep(sizes, [], 30, None, lambda i: i)
+        assert opened == len(gaps) and None not in boxes and sorted(g for g, _ in left) == sorted(g for g in gaps if g)
+    assert packing.sweep([5, 4, 3], [(4, 9)], 30, 0, None) == ([None, 9, None], [], 0)
+
+
+def test_packing_in_rounds(spark, monkeypatch):
+    """Many slabs and several rounds lose nothing and keep close to the lower bound; so does a large capacity."""
+    monkeypatch.setattr(packing, "SLAB_CONTAINERS", 8)
+    rng = random.Random(7)
+    for capacity, n in ((100, 1500), (1_000_000, 700)):
+        sizes = {i: rng.choice([rng.randrange(1, capacity), rng.randrange(1, capacity // 10), rng.randrange(1, max(2, capacity // 50)), 2 * capacity + 7, capacity]) for i in range(n)}
+        df = spark.createDataFrame(list(sizes.items()), "doc_id long, n_tokens long")
+        per = check(sizes, packing.pack(df, capacity=capacity).collect(), capacity)
+        assert len(per) <= 1.02 * -(-sum(sizes.values()) // capacity)
+    equal = spark.createDataFrame([(i, 30) for i in range(2000)], "doc_id long, n_tokens long")  # one hot size
+    assert len(check({i: 30 for i in range(2000)}, packing.pack(equal, capacity=100).collect(), 100)) <= 670

@@ -36,12 +36,23 @@ def test_ids_match_a_public_encoder(spark, reference, dictionary):
 
 def test_a_very_long_word(spark, reference):
     rng = random.Random(3)
-    text = "".join(rng.choice("abcde") for _ in range(4000))
-    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
-    assert tokenizer.encode(df).first()["ids"] == reference.encode_ordinary(text)
+    texts = ["".join(rng.choice(letters) for _ in range(n)) for letters, n in (("abcde", 4000), ("a", 777), ("ab", 500), ("的一是不了在人有我他", 700), ("-=", 300), ("abcdefghijklmnopqrstuvwxyz", 12_000))]
+    df = spark.createDataFrame([*enumerate(texts), *enumerate(texts)], "doc_id long, text string")
+    want = sorted((i, reference.encode_ordinary(t)) for i, t in enumerate(texts) for _ in "12")
+    assert sorted((r["doc_id"], r["ids"]) for r in tokenizer.encode(df, keep_text=False).collect()) == want
+    assert sorted((r["doc_id"], r["n"]) for r in tokenizer.sizes(df, out="n").collect()) == [(i, len(x)) for i, x in want]
     assert tokenizer.encode(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("short", [0, 1000])
+def test_both_folds_give_the_same_ids(spark, reference, monkeypatch, short):
+    monkeypatch.setattr(tokenizer, "SHORT", short)
+    rng = random.Random(5)
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(1, 60))) for letters in ("a", "ab", "aab", "the", "é世a", "==-") for _ in range(12)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"]: r["ids"] for r in tokenizer.encode(df, dictionary_words=0).collect()} == {i: reference.encode_ordinary(t) for i, t in enumerate(texts)}
+
+
 FOUND = [
     ("Contact: yvonne.baseini@corpus-lab.test, 808.555.0175.", {("email", "yvonne.baseini@corpus-lab.test"), ("phone", "808.555.0175")}),
     ("mailto:lawrence1976@corpus-lab.test. Next", {("email", "lawrence1976@corpus-lab.test")}),
