@@ -65,11 +65,11 @@ def p8_containers(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
-    return privacy.find_personal(_documents(spark, sf))
+    return privacy.find_personal(_documents(spark, sf), privacy.session_secret(spark)).select("doc_id", "kind", "found")
 
 
 def p9_redacted(spark: SparkSession, sf: str) -> DataFrame:
-    return privacy.redact_personal(_documents(spark, sf))
+    return privacy.redact_personal(_documents(spark, sf), privacy.session_secret(spark))
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_splits, p2_found, p3_found, p3_groups, p5_found, p5_report, p6_found, p6_terms, p7_ids, p8_containers, p9_found, p9_redacted)}
