@@ -176,6 +176,7 @@ def _names(given: frozenset[str], plain: frozenset[str]):
     # what makes a pair of capitalised words a name whatever its given name
     titled = "|".join(sorted({t.capitalize() for t in TITLES if len(t) > 1 and t not in ("fr", "pres")}, key=lambda t: (-len(t), t)))
     before_pair = regex.compile(rf"(?r)(?:(?<!{_LETTERS})(?:{titled})\.?{_GAP}|(?<!{_LETTERS})(?:{_GREETINGS}){_GAP}|(?:{_CLOSINGS})[,.!]?[ ]*\n+[ ]*(?:—|-|–)?[ ]*)")
+    within = regex.compile(rf"(?r)[\p{{Ll}},]{_GAP}")
     after_pair = regex.compile(rf"{_GAP}?[<(\[]?[\w.+%-]+@[\w-]")
 
     def find(text: str, words: set[str]):
@@ -195,7 +196,9 @@ def _names(given: frozenset[str], plain: frozenset[str]):
                         sure = bool(before_pair.match(text, 0, a) or after_pair.match(text, r.end()))
                         if sure:
                             end = r.end()
-                        yield a, a + len(word), sure
+                        # the first word of a sentence has its capital anyway, and a particle may be a preposition
+                        if sure or (within.match(text, 0, a) and regex.fullmatch(rf"{_LETTERS}+(?:{_GAP}{_INITIAL})*{_GAP}\p{{Lu}}{_LETTERS}+", word)):
+                            yield a, a + len(word), sure
                     continue
                 end = r.end()
                 if last.lower().strip("'’") in _NOT_SURNAMES or len(last) < 2:
@@ -534,8 +537,8 @@ def _confirmed(scanned: DataFrame) -> DataFrame:
     After initials and short given names the surname must be seen with a capital
     in a sure name, or nowhere as an ordinary word; after a given name that is
     also a word, and before a comma, in more texts as a surname than as a word;
-    after a capitalised word that is no listed given name, in a sure name, and that
-    word nowhere in lower case.
+    after a capitalised word within a sentence that is no listed given name, in a sure
+    name, and that word nowhere in lower case.
     """
     many = lambda role: F.coalesce(F.sum(F.when(F.col("role") == role, F.col("n"))), F.lit(0))
     seen = scanned.filter(F.col("role").isin("surname", "ordinary")).groupBy("surname").agg(many("surname").alias("_named"), many("ordinary").alias("_plain"))
