@@ -1,11 +1,12 @@
 """Problem 5: the same or nearly the same records across splits.
 
-Documents with equal shingle sets form a class, found by a 256-bit fingerprint of
-the sorted set.  Classes get a minwise signature; those that share all rows of a
-band meet in its bucket, and only a class with a training member and one with an
-evaluation member become a candidate.  Candidates are verified by the exact
-Jaccard similarity of their sets, and pairs of classes are expanded to pairs of
-documents last.
+Shingles are hashed once to 64 bits, and a document is the sorted set of its
+hashes from then on.  Documents with equal sets form a class, found by a 128-bit
+fingerprint of the set.  Classes get a minwise signature; those that share all
+rows of a band meet in its bucket, and only a class with a training member and one
+with an evaluation member become a candidate.  Candidates are verified by the
+Jaccard similarity of their whole sets, and pairs of classes are expanded to pairs
+of documents last.
 """
 
 from __future__ import annotations
@@ -18,27 +19,33 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import write_table
-from .common import distinct_rows
+from .common import spread
 
 _MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def banding(threshold: float, miss: float = 1e-6, rows: int | None = None) -> tuple[int, int]:
-    """(bands, rows): a pair at the threshold misses all bands with probability ``miss`` at most."""
-    r = rows or max(1, min(8, round(math.log(0.25) / math.log(threshold)))) if threshold < 1 else 8
+    """(bands, rows): a pair at the threshold misses all bands with probability ``miss`` at most.
+
+    As many rows as make a band of a pair at the threshold agree in about one case
+    of eight: then pairs far below it (boilerplate) rarely meet.
+    """
+    r = rows or max(1, min(8, round(math.log(0.125) / math.log(threshold)))) if threshold < 1 else 8
     hit = threshold**r
     return (1 if hit >= 1 else math.ceil(math.log(miss) / math.log(1 - hit))), r
 
 
 def shingles(tokens: Column, width: int) -> Column:
-    """Distinct sequences of ``width`` neighbouring lower-cased tokens; null without any. A null token counts as ''."""
+    """Sorted distinct 64-bit hashes of the sequences of ``width`` neighbouring lower-cased tokens; null without any. A null token counts as ''."""
     low = F.transform(tokens, lambda t: F.coalesce(F.lower(t), F.lit("")))
-    runs = F.transform(F.sequence(F.lit(1), F.size(tokens) - (width - 1)), lambda i: F.array_join(F.slice(low, i, width), "\x1f"))
-    return F.when(F.size(tokens) >= width, F.array_distinct(runs))
+    hashed = lambda words: F.transform(F.sequence(F.lit(0), F.size(words) - width), lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(width)]))
+    # the lower-cased tokens are made once, as the one element of an array
+    runs = F.element_at(F.transform(F.array(low), hashed), 1)
+    return F.when(F.size(tokens) >= width, F.sort_array(F.array_distinct(runs)))
 
 
 def _band_keys(bands: int, rows: int, seed: int):
-    """Adds the band keys of each class: a 64-bit hash of each band's minima."""
+    """(class_id, bucket) rows: a 64-bit hash of the number and the minima of each band of each class."""
     rng = np.random.default_rng(seed)
     a = rng.integers(1, 2**63, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     b = rng.integers(0, 2**63, bands * rows, dtype=np.uint64)
@@ -58,14 +65,12 @@ def _band_keys(bands: int, rows: int, seed: int):
                     h ^= h >> np.uint64(32)
                     h *= np.uint64(0x9E3779B97F4A7C15)
                     minima[:, k] = np.minimum.reduceat(h, starts)
-                keys = np.zeros((len(starts), bands), dtype=np.uint64)
+                keys = np.tile(np.arange(1, bands + 1, dtype=np.uint64), (len(starts), 1))
                 for k in range(rows):
                     keys = (keys ^ minima[:, k::rows][:, :bands]) * np.uint64(0xFF51AFD7ED558CCD)
                     keys ^= keys >> np.uint64(29)
-                flat = pa.array(keys.view(np.int64).ravel())
-                offsets = pa.array(np.arange(0, len(flat) + 1, bands, dtype=np.int32))
-                kept = [batch.column(c).slice(at, 512) for c in ("class_id", "has_train", "has_held_out")]
-                yield pa.RecordBatch.from_arrays([*kept, pa.ListArray.from_arrays(offsets, flat)], names=["class_id", "has_train", "has_held_out", "keys"])
+                ids = batch.column("class_id").slice(at, 512).take(pa.array(np.repeat(np.arange(len(starts)), bands)))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(keys.view(np.int64).ravel())], names=["class_id", "bucket"])
 
     return run
 
@@ -82,35 +87,31 @@ def cross_split_pairs(
     """
     assert 0 < threshold <= 1 and width > 0 and 0 < miss < 1
     side = F.lower(F.trim(F.col(split)))
-    d = distinct_rows(docs.filter(F.col(tokens).isNotNull() & side.isin(*train, *held_out)), key, split, tokens)
-    sets = d.select(key, side.isin(*train).alias("is_train"), F.sort_array(shingles(F.col(tokens), width)).alias("set")).filter("set IS NOT NULL")
-    # the fingerprint is of the whole set; array_join is unambiguous as \x1e isn't white space between tokens
-    sets = write_table(sets.withColumn("print", F.unhex(F.sha2(F.array_join("set", "\x1e"), 256))), "sets")
+    part = docs.filter(F.col(tokens).isNotNull() & (F.size(tokens) >= width) & side.isin(*train, *held_out) & F.col(key).isNotNull())
+    # written before use, so that sets are made once, where the tokens are, and no token leaves its task
+    sets = write_table(spread(part.select(F.col(key).alias("key"), side.isin(*train).alias("is_train"), F.col(tokens).alias("tokens")), "key").select("key", "is_train", shingles(F.col("tokens"), width).alias("set")), "sets")
+    prints = [F.xxhash64("set").alias("print"), F.xxhash64("set", F.lit(seed)).alias("print2")]
+    each = sets.select("key", "is_train", *prints).distinct()
     flags = [F.bool_or("is_train").alias("has_train"), F.bool_or(~F.col("is_train")).alias("has_held_out")]
-    named = write_table(sets.groupBy("print").agg(F.min(key).alias("class_id"), *flags), "named")  # a class is called by its smallest key
+    named = write_table(each.groupBy("print", "print2").agg(F.min("key").alias("class_id"), *flags), "named")  # a class is called by its smallest key
     sides = named.select("class_id", "has_train", "has_held_out")
-    members = sets.select(key, "is_train", "print").join(named.select("print", "class_id"), "print").select(key, "is_train", "class_id")
-    classes = sets.select(F.col(key).alias("class_id"), "set").join(sides, "class_id")
+    members = each.join(named.select("print", "print2", "class_id"), ["print", "print2"]).select(F.col("key").alias(key), "is_train", "class_id")
+    # a class has the set of the document it is called by; one delivered twice gives its rows twice until the pairs are made distinct
+    classes = write_table(sets.select(F.col("key").alias("class_id"), "set").join(sides, "class_id"), "classes")
 
     bands, rows = banding(threshold, miss)
-    hashed = classes.select("class_id", "has_train", "has_held_out", F.transform("set", lambda s: F.xxhash64(s)).alias("hashes"))
     kind = dict(named.dtypes)["class_id"]
-    signed = hashed.mapInArrow(_band_keys(bands, rows, seed), f"class_id {kind}, has_train boolean, has_held_out boolean, keys array<long>")
-    buckets = signed.select("class_id", "has_train", "has_held_out", F.posexplode("keys").alias("band", "bucket"))
-    buckets = write_table(buckets, "buckets")  # read by both sides
+    signed = lambda flag: classes.filter(flag).select("class_id", F.col("set").alias("hashes")).mapInArrow(_band_keys(bands, rows, seed), f"class_id {kind}, bucket long")
     near = (
-        buckets.filter("has_train").select("band", "bucket", F.col("class_id").alias("class_t"))
-        .join(buckets.filter("has_held_out").select("band", "bucket", F.col("class_id").alias("class_h")), ["band", "bucket"])
+        signed("has_train").withColumnRenamed("class_id", "class_t")
+        .join(signed("has_held_out").withColumnRenamed("class_id", "class_h"), "bucket")
         .filter("class_t <> class_h").select("class_t", "class_h").distinct()
     )
-    left = classes.select(F.col("class_id").alias("class_t"), F.col("set").alias("set_t"))
-    right = classes.select(F.col("class_id").alias("class_h"), F.col("set").alias("set_h"))
+    left = classes.filter("has_train").select(F.col("class_id").alias("class_t"), F.col("set").alias("set_t"))
+    right = classes.filter("has_held_out").select(F.col("class_id").alias("class_h"), F.col("set").alias("set_h"))
     both = F.size(F.array_intersect("set_t", "set_h"))
-    verified = (
-        near.join(left, "class_t").join(right, "class_h")
-        .select("class_t", "class_h", (both / (F.size("set_t") + F.size("set_h") - both)).alias("jaccard"))
-        .filter(F.col("jaccard") >= threshold)
-    )
+    shared = F.element_at(F.transform(F.array(both), lambda n: n / (F.size("set_t") + F.size("set_h") - n)), 1)
+    verified = near.join(right, "class_h").join(left, "class_t").select("class_t", "class_h", shared.alias("jaccard")).filter(F.col("jaccard") >= threshold).distinct()
     same = sides.filter("has_train AND has_held_out").select(F.col("class_id").alias("class_t"), F.col("class_id").alias("class_h"), F.lit(1.0).alias("jaccard"))
     of = lambda c, t: members.filter("is_train" if t else "NOT is_train").select(F.col("class_id").alias(c), F.col(key).alias(f"key_{c[-1]}"))
     pairs = verified.unionByName(same).join(of("class_t", True), "class_t").join(of("class_h", False), "class_h")
