@@ -21,11 +21,9 @@ from pyspark.sql import functions as F
 
 from ..storage import drop_table, write_table
 
-#: Edges that one cell may hold; a round of at most this many edges runs as one cell.
+#: Edges that one cell may hold on average; blocks of the grid at least.
 CELL_EDGES = 400_000
 MIN_BLOCKS = 4
-#: Edges that aren't worth more than one cell even in the first round.
-ONE_CELL = 20_000
 
 
 def _roots(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -58,7 +56,7 @@ def _union_cell(batches):
         yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(roots)], names=["vertex", "root"])
 
 
-def connected_components(edges: DataFrame, cell_edges: int = CELL_EDGES, min_blocks: int = MIN_BLOCKS, one_cell: int = ONE_CELL) -> DataFrame:
+def connected_components(edges: DataFrame, cell_edges: int = CELL_EDGES, min_blocks: int = MIN_BLOCKS) -> DataFrame:
     """(vertex, component) for every vertex of an edge; component is its smallest vertex.
 
     ``edges`` has ``src`` and ``dst`` (BIGINT).  Edges with a null end or equal
@@ -67,17 +65,15 @@ def connected_components(edges: DataFrame, cell_edges: int = CELL_EDGES, min_blo
     """
     assert cell_edges > 0 and min_blocks > 0
     links = edges.select(F.col("src").cast("long"), F.col("dst").cast("long")).filter("src <> dst")
-    first, forests = True, []
+    forests = []
     current = write_table(links, "edges")
     while True:
         n = current.count()
         if n == 0:
             drop_table(current)
             break
-        blocks = 1 if n <= cell_edges and not first else max(min_blocks if first else 1, math.ceil(math.sqrt(2 * n / cell_edges)))
-        if n < one_cell:
-            blocks = 1
-        block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
+        blocks = max(min_blocks, math.ceil(math.sqrt(2 * n / cell_edges)))
+        block = lambda c: F.pmod(F.xxhash64(c, F.lit(len(forests))), F.lit(blocks)).cast("int")  # noqa: B023, E731  # another grid in each round
         lo, hi = F.least(block("src"), block("dst")), F.greatest(block("src"), block("dst"))
         cells = blocks * (blocks + 1) // 2
         stars = (
@@ -86,17 +82,12 @@ def connected_components(edges: DataFrame, cell_edges: int = CELL_EDGES, min_blo
             .select("src", "dst")
             .mapInArrow(_union_cell, "vertex long, root long")
         )
-        if blocks == 1:
-            forest = write_table(stars.select("vertex", F.col("root").alias("parent"), F.array("root").alias("roots")), "forest")
-        else:
-            met = stars.groupBy("vertex").agg(F.collect_set("root").alias("roots"))
-            forest = write_table(met.select("vertex", F.array_min("roots").alias("parent"), "roots"), "forest")
+        met = stars.groupBy("vertex").agg(F.collect_set("root").alias("roots"))
+        forest = write_table(met.select("vertex", F.array_min("roots").alias("parent"), "roots"), "forest")
         drop_table(current)
         forests.append(forest)
-        if blocks == 1:
-            break
         rest = forest.filter(F.size("roots") > 1).select(F.explode(F.array_except("roots", F.array("parent"))).alias("src"), F.col("parent").alias("dst"))
-        current, first = write_table(rest.distinct(), "edges"), False
+        current = write_table(rest.distinct(), "edges")
     if not forests:
         return edges.sparkSession.createDataFrame([], "vertex long, component long")
     label = forests[-1].select("vertex", F.col("parent").alias("component"))

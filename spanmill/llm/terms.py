@@ -1,19 +1,22 @@
 """Problem 6: frequency of every distinct term, counted in burst tries.
 
 Rows are first combined on the JVM to (field, term, document) with their number
-of mentions.  Every task then counts its rows in a burst trie: access nodes lead
-through a term's first characters to a container of suffixes, and a container
-that grows past a limit bursts into a node with smaller containers.  Full
-containers leave the task as compact subtrees (one row per container: prefix,
-front-sorted suffixes, counters).  Matching subtrees meet by an adaptive prefix:
-the shortest prefix that holds no more than its share of all rows.  Prefixes
-that hold more are few, because each of them accounts for a fixed share of the
-rows, so the routing table has a proven bound.
+of mentions, so that a document counts once for a term.  Every task then counts
+its rows in a burst trie: access nodes lead through a term's first characters to a
+container of suffixes, and a container that grows past a limit bursts into a node
+with smaller containers.  A trie that is full leaves the task as compact subtrees
+(one row per container: prefix, sorted suffixes, counters).  Matching subtrees
+meet by an adaptive prefix: the routes are the ranges between sampled terms, which
+are as long as it takes to give each route its share, however many terms begin
+alike.  A route's subtrees are merged in the order of their terms as a stream, so
+that a task holds one batch and one open term.
 """
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,8 +25,6 @@ from .common import distinct_rows
 
 #: Suffixes in a container before it bursts; entries of a trie before its containers leave the task.
 BURST, FLUSH = 2_048, 400_000
-#: A prefix with more than one in ROUTES of all rows is routed by a longer one, up to DEPTH characters.
-ROUTES, DEPTH = 256, 6
 
 
 class BurstTrie:
@@ -118,32 +119,30 @@ def _count(burst: int, flush: int):
 
 
 def _merge(batches):
-    """Adds up the subtrees of a partition's routes."""
-    total: dict[tuple[str, str], list[int]] = {}
-    for b in batches:
-        for f, t, n, d in zip(*(b.column(c).to_pylist() for c in ("field", "term", "mentions", "documents"))):
-            entry = total.get((f, t))
-            if entry is None:
-                total[f, t] = [n, d]
-            else:
-                entry[0] += n
-                entry[1] += d
-    items = list(total.items())
-    for i in range(0, len(items), 20_000):
-        part = items[i : i + 20_000]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([k[0] for k, _ in part], pa.string()), pa.array([k[1] for k, _ in part], pa.string()), pa.array([v[0] for _, v in part], pa.int64()), pa.array([v[1] for _, v in part], pa.int64())],
-            names=["field", "term", "n_mentions", "n_documents"],
-        )
+    """Rows in the order of (field, term) -> one row per term with the sums of its counters; the last term of a batch waits for the next one."""
+    open_ = None
 
+    def row(x):
+        return pa.RecordBatch.from_arrays([pa.array([x[0]], pa.string()), pa.array([x[1]], pa.string()), pa.array([x[2]], pa.int64()), pa.array([x[3]], pa.int64())], names=["field", "term", "n_mentions", "n_documents"])
 
-def _route(term: Column, heavy: list[str]) -> Column:
-    """The shortest prefix that isn't heavy."""
-    routes = F.lit(None).cast("string")
-    for k in range(1, DEPTH):
-        cut = F.substring(term, 1, k)
-        routes = F.coalesce(routes, F.when(~cut.isin(heavy), cut)) if heavy else F.coalesce(routes, cut)
-    return F.coalesce(routes, F.substring(term, 1, DEPTH))
+    for b in batches:
+        if not b.num_rows:
+            continue
+        f, t = b.column("field"), b.column("term")
+        n, d = (b.column(c).to_numpy(zero_copy_only=False) for c in ("mentions", "documents"))
+        differs = lambda c: ~pa.compute.equal(c.slice(1), c.slice(0, len(c) - 1)).to_numpy(zero_copy_only=False)
+        starts = np.concatenate([[0], np.flatnonzero(differs(f) | differs(t)) + 1]) if b.num_rows > 1 else np.array([0])
+        n, d, at = np.add.reduceat(n, starts), np.add.reduceat(d, starts), pa.array(starts)
+        f, t = f.take(at), t.take(at)
+        if open_ and (f[0].as_py(), t[0].as_py()) == open_[:2]:
+            n[0] += open_[2]
+            d[0] += open_[3]
+        elif open_:
+            yield row(open_)
+        open_ = (f[-1].as_py(), t[-1].as_py(), int(n[-1]), int(d[-1]))
+        yield pa.RecordBatch.from_arrays([f.slice(0, len(f) - 1), t.slice(0, len(t) - 1), pa.array(n[:-1], pa.int64()), pa.array(d[:-1], pa.int64())], names=["field", "term", "n_mentions", "n_documents"])
+    if open_:
+        yield row(open_)
 
 
 def term_counts(mentions: DataFrame, fields: dict[str, str], burst: int = BURST, flush: int = FLUSH) -> DataFrame:
@@ -161,13 +160,8 @@ def term_counts(mentions: DataFrame, fields: dict[str, str], burst: int = BURST,
     rows = pairs.select("doc_id", "x.field", "x.term").filter(F.length("term") > 0).groupBy("field", "term", "doc_id").agg(F.count(F.lit(1)).alias("n"))
     rows = rows.select("field", "term", "n", F.col("doc_id").isNotNull().cast("int").alias("d"))
     trees = write_table(rows.mapInArrow(_count(burst, flush), _SUBTREE), "subtrees")
-    total = trees.agg(F.sum(F.size("suffixes"))).first()[0] or 0
-    heavy: list[str] = []
-    if total > ROUTES * 64:
-        cuts = trees.select(F.explode(F.transform("suffixes", lambda s: F.concat("prefix", s))).alias("t")).select(F.explode(F.transform(F.sequence(F.lit(1), F.lit(DEPTH - 1)), lambda k: F.substring("t", F.lit(1), k))).alias("cut"))
-        heavy = [r["cut"] for r in cuts.groupBy("cut").count().filter(F.col("count") > total // ROUTES).select("cut").toLocalIterator()]
     flat = trees.select("field", "prefix", F.explode(F.arrays_zip("suffixes", "mentions", "documents")).alias("e")).select("field", F.concat("prefix", "e.suffixes").alias("term"), "e.mentions", "e.documents")
-    return flat.repartition(_route(F.col("term"), heavy), F.col("field")).mapInArrow(_merge, _COUNTED)
+    return flat.repartitionByRange("field", "term").sortWithinPartitions("field", "term").mapInArrow(_merge, _COUNTED)
 
 
 def _stripped(c: Column) -> Column:
@@ -181,6 +175,6 @@ def marked_terms(mentions: DataFrame, fields: dict[str, str], rare: int = 2, com
     ``common`` of all distinct ``doc_id``.  A term that is both is 'common' only
     where the table has so few documents, and is then marked 'rare'.
     """
-    n_docs = mentions.agg(F.countDistinct("doc_id")).first()[0]
+    n_docs = mentions.agg(F.countDistinct("doc_id")).scalar()
     mark = F.when(F.col("n_mentions") <= rare, "rare").when(F.col("n_documents") >= F.lit(common) * n_docs, "common")
     return term_counts(mentions, fields, **trie).withColumn("mark", mark)

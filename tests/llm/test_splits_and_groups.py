@@ -21,12 +21,12 @@ def brute(edges):
     return {x: root(x) for x in parent}
 
 
-@pytest.mark.parametrize("cell, blocks", [(50, 3), (10**6, 4)])
+@pytest.mark.parametrize("cell, blocks", [(50, 3), (10**6, 4), (10**6, 1)])
 def test_components_match_brute_force(spark, cell, blocks):
     rng = random.Random(5)
     pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(1000, i) for i in range(1001, 1100)] + [(i, i + 1) for i in range(2000, 2200)]
     df = spark.createDataFrame(pairs + [(7, 7), (9999, 9999)] + pairs[:20], "src long, dst long").unionByName(spark.createDataFrame([(None, 3)], "src long, dst long"))
-    got = {r["vertex"]: r["component"] for r in components.connected_components(df, cell, blocks, one_cell=0).collect()}
+    got = {r["vertex"]: r["component"] for r in components.connected_components(df, cell, blocks).collect()}
     assert got == brute([p for p in pairs if p[0] != p[1]])
 
 

@@ -31,15 +31,23 @@ def test_terms(spark):
     assert terms.marked_terms(df.limit(0), fields).count() == 0
 
 
-def test_adaptive_routes(spark, monkeypatch):
-    monkeypatch.setattr(terms, "ROUTES", 2)
+def test_terms_that_begin_alike_go_to_many_tasks(spark):
+    """A long prefix that all terms share is no single route, and the merge is exact across batches."""
     rng = random.Random(4)
-    rows = [(i, f"d{i % 7}", "aa" + "".join(rng.choice("abc") for _ in range(4)), None, 0, "") for i in range(900)]
-    got = {r["term"]: r["n_mentions"] for r in terms.term_counts(spark.createDataFrame(rows, MENTIONS), {"head": "head"}).collect()}
+    rows = [(i, f"d{i % 7}", "aa" * 40 + "".join(rng.choice("abc") for _ in range(5)), None, 0, "") for i in range(3000)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        out = terms.term_counts(spark.createDataFrame(rows, MENTIONS).repartition(4), {"head": "head"}, burst=4, flush=60)
+        got = {r["term"]: (r["n_mentions"], r["n_documents"], r["p"]) for r in out.selectExpr("*", "spark_partition_id() AS p").collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     want: dict = {}
     for r in rows:
-        want[r[2]] = want.get(r[2], 0) + 1
-    assert got == want
+        n, docs = want.setdefault(r[2], [0, set()])
+        want[r[2]][0] += 1
+        docs.add(r[1])
+    assert {t: x[:2] for t, x in got.items()} == {t: (n, len(d)) for t, (n, d) in want.items()}
+    assert len({x[2] for x in got.values()}) == 2  # all of the session's shuffle partitions
 
 
 DOCS = "doc_key long, tokens array<string>, split string, key_a int, source string"
