@@ -17,11 +17,11 @@ def _documents(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
-    return splits.related(table(spark, sf, "conll_docs"))
+    return splits.split_related(table(spark, sf, "conll_docs")).filter("group_size > 1").select("doc_key", "group_key")
 
 
 def p1_splits(spark: SparkSession, sf: str) -> DataFrame:
-    return splits.split_related(table(spark, sf, "conll_docs"))
+    return splits.split_related(table(spark, sf, "conll_docs")).select("doc_key", "group_key", "split")
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:

@@ -1,25 +1,34 @@
 """Problem 1: splits that keep related records together.
 
 Related documents form components (see :mod:`.components`).  Components of equal
-size and label profile are one bundle, so the allocation works on bundles whose
-number is bounded: sizes that occur are distinct and sum to at most N, hence at
-most sqrt(2 N) of them per label.  A min-cost flow sends the documents of each
-bundle to the splits; what exceeds a split's quota, or its share of a label,
-pays a deviation cost.  Flows are rounded to whole components, the
-rest goes where it deviates least, and a bundle's components are told apart by
+size and label profile are one bundle.  A min-cost flow sends the documents of the
+bundles to the splits: each split has its quota, and a bundle's cost in a split is
+the deviation that its whole label profile makes there.  Flows are rounded to whole
+components; what is left over goes, largest first, where it deviates least over all
+labels, and components move on along the cheapest ways between splits (cancelling
+cycles) while that lowers the deviation.  A bundle's components are told apart by
 the rank of their hash.
+
+The number of bundles is bounded whatever the table: sizes are exact up to
+``EXACT_SIZE`` and in classes of 2 percent beyond, profiles are exact up to
+``EXACT_PROFILE`` documents and in eighths beyond, and labels beyond the most
+frequent ``LABELS`` count as one.
 """
 
 from __future__ import annotations
 
 import heapq
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import write_table
 from .common import bounded_rank, distinct_rows, squeezed
 from .components import connected_components, stars
 
+EXACT_SIZE, EXACT_PROFILE, LABELS = 64, 4, 16
+
 #: What stands in the place of an author who isn't known, squeezed.
 PLACEHOLDERS = ["", "anon", "anonymous", "na", "nil", "noauthor", "none", "null", "nobody", "tba", "tbd", "unk", "unknown", "unnamed", "xxx"]
 
@@ -110,74 +119,104 @@ def _min_cost_flow(supply: list[int], sinks: list[int], cost: list[list[int]], o
     return flow
 
 
-def allocate(bundles: list[tuple[int, str | None, int]], shares: list[float]) -> list[list[int]]:
-    """Components of each bundle (size, label, number) per split, as whole numbers.
+def allocate(bundles: list[tuple[float, dict[str, float], int]], shares: list[float]) -> list[list[int]]:
+    """Components of each bundle (size, documents per label, number) per split, as whole numbers.
 
-    Bundles are taken label by label, so that each label is split in the same
-    shares; a component larger than a split's quota costs more there than the
-    documents that the split would lack.
+    The deviation is the sum over labels and splits of the squared difference from
+    the share, in units of the share; all documents together are one more label.
     """
-    total = sum(n * size for size, _, n in bundles)
-    k = len(shares)
-    quota = [round(total * x) for x in shares]
-    quota[0] += total - sum(quota)
-    result = [[0] * k for _ in bundles]
-    filled = [0] * k
-    rest = []
-    labels: dict[str | None, list[int]] = {}
-    for b, (_, label, _) in enumerate(bundles):
-        labels.setdefault(label, []).append(b)
-    for members in labels.values():
-        sizes = [bundles[b][0] for b in members]
-        docs = sum(bundles[b][0] * bundles[b][2] for b in members)
-        sinks = [int(docs * x) for x in shares]
-        sinks[0] += docs - sum(sinks)
-        cost = [[0 if size <= quota[j] else 10 * (size - quota[j]) for j in range(k)] for size in sizes]
-        flow = _min_cost_flow([bundles[b][0] * bundles[b][2] for b in members], sinks, cost, 5)
-        for b, f, size in zip(members, flow, sizes):
-            whole = [x // size for x in f]
-            result[b] = whole
-            for j in range(k):
-                filled[j] += whole[j] * size
-            rest.append((size, b, bundles[b][2] - sum(whole)))
-    for size, b, n in sorted(rest, key=lambda x: (-x[0], x[1])):
-        for _ in range(n):
-            j = min(range(k), key=lambda j: (abs(filled[j] + size - quota[j]) - abs(filled[j] - quota[j]), filled[j] / max(quota[j], 1)))
-            result[b][j] += 1
-            filled[j] += size
-    return result
+    if not bundles:
+        return []
+    k, share = len(shares), np.array(shares)
+    names = {n: i + 1 for i, n in enumerate(sorted({n for _, p, _ in bundles for n in p}))}
+    profile = np.zeros((len(bundles), len(names) + 1))
+    for b, (size, labels, _) in enumerate(bundles):
+        profile[b, 0] = size
+        for n, docs in labels.items():
+            profile[b, names[n]] = docs
+    number = np.array([n for *_, n in bundles])
+    target = np.maximum(np.outer(profile.T @ number, share), 1e-9)  # label x split
+    weight = 1 / np.maximum(target, 1)
+    whole = np.floor(np.outer(number, share)).astype(np.int64)  # shares of a bundle that are whole components deviate nowhere
+    filled = profile.T @ whole
+    left = number - whole.sum(axis=1)
+
+    def added() -> np.ndarray:
+        """Bundle x split: what one more component changes in the deviation."""
+        return profile @ (2 * (filled - target) * weight) + profile**2 @ weight
+
+    # the rest as a flow of documents into what the quotas still take
+    supply = [max(1, round(bundles[b][0] * left[b])) if left[b] else 0 for b in range(len(bundles))]
+    room = np.maximum(0, target[0] - filled[0])
+    sinks = [int(x) for x in room]
+    sinks[0] += max(0, sum(supply) - sum(sinks))
+    per_document = added() / profile[:, :1]
+    low = per_document.min()
+    scale = 1000 / max(per_document.max() - low, 1e-9)
+    cost = [[int((c - low) * scale) for c in row] for row in per_document]
+    flow = np.array(_min_cost_flow(supply, sinks, cost, 2000))
+    rounded = np.minimum(np.floor(flow / profile[:, :1] + 1e-9).astype(np.int64), left[:, None])
+    whole += rounded
+    filled = profile.T @ whole
+    left = number - whole.sum(axis=1)
+    for b in np.lexsort((np.arange(len(bundles)), -profile[:, 0])):
+        for _ in range(left[b]):
+            j = int(np.argmin(2 * profile[b] @ ((filled - target) * weight) + profile[b] ** 2 @ weight))
+            whole[b, j] += 1
+            filled[:, j] += profile[b]
+    for _ in range(20 * len(bundles)):
+        gain = profile @ (2 * (filled - target) * weight) - profile**2 @ weight  # what a component less saves
+        change = added()[:, None, :] - np.where(whole > 0, gain, -np.inf)[:, :, None]  # bundle x from x to
+        change[:, np.arange(k), np.arange(k)] = 0
+        b, i, j = np.unravel_index(np.argmin(change), change.shape)
+        if change[b, i, j] > -1e-9:
+            break
+        whole[b, i] -= 1
+        whole[b, j] += 1
+        filled[:, i] -= profile[b]
+        filled[:, j] += profile[b]
+    return whole.tolist()
+
+
+def _bundled(grouped: DataFrame) -> DataFrame:
+    """(group_key, size, bundle, bundle_size, labels) of each group; see the module for what a bundle leaves out."""
+    frequent = grouped.filter("label IS NOT NULL").groupBy("label").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "label").limit(LABELS).select("label", F.col("label").alias("kept"))
+    profile = grouped.join(frequent, "label", "left").groupBy("group_key", F.when(F.col("label").isNull(), "").otherwise(F.coalesce(F.concat(F.lit("="), "kept"), F.lit("+"))).alias("name")).agg(F.count(F.lit(1)).alias("n"))
+    groups = profile.groupBy("group_key").agg(F.sum("n").alias("size"), F.sort_array(F.collect_list(F.struct("name", "n"))).alias("counts"))  # LABELS + 2 entries at most
+    step = F.floor(F.log(F.col("size") / F.lit(float(EXACT_SIZE))) / F.log(F.lit(1.02)))
+    size = F.when(F.col("size") <= EXACT_SIZE, F.col("size").cast("double")).otherwise(F.round(F.lit(float(EXACT_SIZE)) * F.pow(F.lit(1.02), step + 0.5)))
+    eighths = F.filter(F.transform("counts", lambda c: F.struct(c["name"].alias("name"), F.round(c["n"] * 8 / F.col("size")).cast("long").alias("n"))), lambda c: c["n"] > 0)
+    shape = F.when(F.col("size") <= EXACT_PROFILE, F.col("counts")).otherwise(eighths)
+    named = groups.select("group_key", "size", size.alias("bundle_size"), shape.alias("labels"))
+    return named.withColumn("bundle", F.concat_ws("|", F.col("bundle_size").cast("string"), F.to_json("labels")))
 
 
 def split_related(
     docs: DataFrame, key: str = "doc_key", label: str = "genre", names: tuple[str, ...] = ("train", "validation", "test"), shares: tuple[float, ...] = (0.8, 0.1, 0.1), **grid,
 ) -> DataFrame:
-    """(key, group_key, split) of every document; no related documents are in two splits.
+    """(key, group_key, group_size, split) of every document; no related documents are in two splits.
 
-    A document without relations is its own group.  A group's label profile is
-    its most frequent label (the smallest of equals; null where no document has
-    one).  Shares hold as closely as whole groups allow.  An empty table gives no rows.
+    A document without relations is its own group.  Shares hold over all documents
+    and within each label (documents without one count as a label of their own) as
+    closely as whole groups allow.  A document delivered with several labels counts
+    under the smallest.  An empty table gives no rows.
     """
     assert len(names) == len(shares) and abs(sum(shares) - 1) < 1e-9
     every = docs.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min(label).alias("label"))
-    grouped = every.join(related(docs, key, **grid), key, "left").select(key, "label", F.coalesce("group_key", key).alias("group_key"))
-    from ..storage import write_table
-
-    grouped = write_table(grouped, "grouped")
-    profile = grouped.groupBy("group_key", "label").agg(F.count(F.lit(1)).alias("n"))
-    groups = profile.groupBy("group_key").agg(
-        F.sum("n").alias("size"), F.max_by("label", F.when(F.col("label").isNotNull(), F.struct(F.col("n"), F.struct((-F.ascii("label")).alias("a"), F.col("label"))))).alias("label")
-    )
-    groups = write_table(groups, "groups")
-    bundles = [(r["size"], r["label"], r["n"]) for r in groups.groupBy("size", "label").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("size"), "label").toLocalIterator()]
-    plan, rows = allocate(bundles, list(shares)), []
-    for (size, lab, _), counts in zip(bundles, plan):
+    grouped = write_table(every.join(related(docs, key, **grid), key, "left").select(key, "label", F.coalesce("group_key", key).alias("group_key")), "grouped")
+    groups = write_table(_bundled(grouped), "groups")
+    rows = groups.groupBy("bundle").agg(F.first("bundle_size").alias("size"), F.first("labels").alias("labels"), F.count(F.lit(1)).alias("n")).orderBy(F.desc("size"), "bundle").toLocalIterator()
+    bundles = [(r["bundle"], r["size"], {c["name"]: float(c["n"]) for c in r["labels"]}, r["n"]) for r in rows]
+    # a profile in eighths is scaled to the size
+    scaled = [(size, {n: x * size / sum(p.values()) for n, x in p.items()} if p else {}, number) for _, size, p, number in bundles]
+    cuts = []
+    for (bundle, *_), counts in zip(bundles, allocate(scaled, list(shares))):
         at = 0
         for name, n in zip(names, counts):
             if n:
-                rows.append((size, lab, at, at + n, name))
+                cuts.append((bundle, at, at + n, name))
                 at += n
-    cuts = docs.sparkSession.createDataFrame(rows, "size long, label string, lo long, hi long, split string")
-    ranked = bounded_rank(groups.withColumn("label_", F.coalesce("label", F.lit("\x00"))), ["size", "label_"], ["group_key"])
-    cuts = cuts.withColumn("label_", F.coalesce("label", F.lit("\x00"))).drop("label")
-    placed = ranked.join(cuts, ["size", "label_"]).filter((F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi"))).select("group_key", "split")
-    return grouped.select(key, "group_key").join(placed, "group_key").select(key, "group_key", "split")
+    plan = docs.sparkSession.createDataFrame(cuts, "bundle string, lo long, hi long, split string")
+    ranked = bounded_rank(groups.select("group_key", "size", "bundle"), ["bundle"], ["group_key"])
+    placed = ranked.join(plan, "bundle").filter((F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi"))).select("group_key", F.col("size").alias("group_size"), "split")
+    return grouped.select(key, "group_key").join(placed, "group_key").select(key, "group_key", "group_size", "split")

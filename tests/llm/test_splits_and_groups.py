@@ -115,3 +115,18 @@ def test_min_cost_flow_is_cheapest():
         ways = [[w for w in product(range(n + 1), repeat=3) if sum(w) == n] for n in supply]
         assert [sum(f) for f in flow] == supply
         assert price(flow) == min(price(f) for f in product(*ways))
+
+
+def test_each_label_has_its_shares():
+    rng = random.Random(11)
+    bundles = [(1, {x: 1.0}, n) for x, n in (("a", 137), ("b", 41), ("c", 66), ("", 23))]
+    for _ in range(60):
+        p = {x: float(rng.randrange(1, 6)) for x in rng.sample(["a", "b", "c", ""], rng.randrange(1, 4))}
+        bundles.append((sum(p.values()), p, rng.randrange(1, 4)))
+    plan = splits.allocate(bundles, [0.8, 0.1, 0.1])
+    assert [sum(x) for x in plan] == [n for *_, n in bundles]
+    for name in ("a", "b", "c", ""):
+        docs = [sum(x[j] * p.get(name, 0) for x, (_, p, _) in zip(plan, bundles)) for j in range(3)]
+        assert all(abs(d / sum(docs) - s) < 0.02 for d, s in zip(docs, (0.8, 0.1, 0.1))), (name, docs)
+    assert splits.allocate([], [0.8, 0.2]) == []
+    assert splits.allocate([(40, {"a": 40.0}, 1), (1, {"a": 1.0}, 80)], [0.8, 0.1, 0.1])[0] == [1, 0, 0]
