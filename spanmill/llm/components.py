@@ -72,7 +72,8 @@ def connected_components(edges: DataFrame, cell_edges: int = CELL_EDGES, min_blo
         if n == 0:
             drop_table(current)
             break
-        blocks = max(min_blocks, math.ceil(math.sqrt(2 * n / cell_edges)))
+        # later, smaller rounds have the blocks that their edges need; a grid of one cell leaves no vertex with two roots
+        blocks = max(1 if forests else min_blocks, math.ceil(math.sqrt(2 * n / cell_edges)))
         block = lambda c: F.pmod(F.xxhash64(c, F.lit(len(forests))), F.lit(blocks)).cast("int")  # noqa: B023, E731  # another grid in each round
         lo, hi = F.least(block("src"), block("dst")), F.greatest(block("src"), block("dst"))
         cells = blocks * (blocks + 1) // 2
