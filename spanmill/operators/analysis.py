@@ -140,6 +140,18 @@ def update(mapping: DataFrame, other: DataFrame, path: tuple[str, ...] = ("syste
     return mapping.join(leaves, list(path), "left_anti").select(*mapping.columns).unionByName(other.select(*mapping.columns))
 
 
+def with_gold_anaphor(errors_: DataFrame, mentions: DataFrame, reference: str = "annotated_set_id") -> DataFrame:
+    """Adds ``gold_anaphor``: whether the reference has the anaphor at all, 'is_gold' or 'is_not_gold'."""
+    gold = mentions.filter(F.col(reference).isNotNull()).select("doc_id", F.col("mention_idx").alias("ana_idx"), F.lit("is_gold").alias("gold_anaphor")).distinct()
+    return errors_.join(gold, ["doc_id", "ana_idx"], "left").withColumn("gold_anaphor", F.coalesce("gold_anaphor", F.lit("is_not_gold")))
+
+
+def apart(errors_: DataFrame, least: int, most: int | None = None, field: str = "sent_id") -> DataFrame:
+    """Errors (see :func:`with_mentions`) whose mentions are at least, and at most, so many sentences apart; a null distance is left out."""
+    d = F.col(f"ana.{field}") - F.col(f"ante.{field}")
+    return errors_.filter((d >= least) & ((d <= most) if most is not None else F.lit(True)))
+
+
 def decisions(mentions: DataFrame, antecedent: str = "antecedent_idx") -> DataFrame:
     """All (doc_id, ana_idx, ante_idx) of mentions with an antecedent."""
     return mentions.filter(F.col(antecedent).isNotNull()).select("doc_id", F.col("mention_idx").alias("ana_idx"), F.col(antecedent).alias("ante_idx"))

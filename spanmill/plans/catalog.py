@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import documents, evaluation, links, scale
+from . import documents, evaluation, inventory, links, scale
 
-_PARTS = (documents, links, evaluation, scale)
+_PARTS = (documents, links, evaluation, scale, inventory)
 QUERIES = {name: f for part in _PARTS for name, f in part.QUERIES.items()}
 ORACLE = {name: sql for part in _PARTS for name, sql in part.ORACLE.items()}

@@ -9,7 +9,7 @@ from ..functions import features as X
 from ..functions import rules
 from ..operators import cluster, decode, pipeline, resolve
 from ..operators import learn as L
-from ..operators.pairs import backward_pairs, training_pairs
+from ..operators.pairs import backward_pairs, nothing_between, training_pairs, with_speakers_ahead
 from .base import E_, M, event_mentions, mentions, tokens, with_strings
 
 _RULE = ["doc_id", "mention_idx", "span", "sent_id", "tokens", "pos", "ner", "head", "head_span", "head_index", "type", "fine_type", "citation_form", "number", "gender", "semantic_class", "grammatical_function", "speaker"]
@@ -95,24 +95,30 @@ def _rule_mentions(spark: SparkSession, sf: str) -> DataFrame:
 def rule_edges(spark: SparkSession, sf: str) -> DataFrame:
     """How often each relation holds among all pairs of a document, per document."""
     names = {**rules.NEGATIVE, **rules.POSITIVE, "pronoun_parallelism": rules.pronoun_parallelism}
-    skip = {"not_singleton", "lexical", "speaker"}
+    skip = {"not_singleton", "lexical", "speaker"}  # these need lists and tokens: see listed_relations and speaker_relation
     m = rules.with_rule_columns(_rule_mentions(spark, sf)).withColumn("singleton_count", F.lit(None).cast("int"))
     p = backward_pairs(m, resolve.COLUMNS)
     return p.groupBy("doc_id").agg(*[_n(f()).alias(n) for n, f in names.items() if n not in skip])
 
 
+def speaker_relation(spark: SparkSession, sf: str) -> DataFrame:
+    """How often the relation of speakers holds, with nobody else speaking between i and you, per document."""
+    m = with_speakers_ahead(_rule_mentions(spark, sf), tokens(spark, sf, "doc_id", "tok_idx", "speaker"))
+    fields = ["span", "type", "citation_form", "speaker", "speakers_ahead", "head_text", "text"]
+    p = backward_pairs(rules.with_rule_columns(m), fields).withColumn("nothing_between", nothing_between())
+    return p.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_pairs"), _n(rules.speaker()).alias("n_speaker"))
+
+
 def _rule_graph(spark: SparkSession, sf: str) -> DataFrame:
     return resolve.edges(_rule_mentions(spark, sf), tokens=tokens(spark, sf, "doc_id", "tok_idx", "speaker"))
 
 
 def rule_antecedent(spark: SparkSession, sf: str) -> DataFrame:
-    """The SQL has no test for third speakers and differs where one is between i and you."""
     best = resolve.best_antecedents(_rule_graph(spark, sf))
     return best.select("doc_id", "ana_idx", "ante_idx", F.round("weight", 6).alias("weight"))
 
 
 def rule_clusters(spark: SparkSession, sf: str) -> DataFrame:
-    """Differs from its SQL as :func:`rule_antecedent` does."""
     return resolve.entities(resolve.best_antecedents(_rule_graph(spark, sf)))
 
 
@@ -177,21 +183,10 @@ def perceptron_train(spark: SparkSession, sf: str) -> DataFrame:
     return model
 
 
-def predict_entities(spark: SparkSession, sf: str) -> DataFrame:
-    """A latent-antecedent model trained on the annotation of the mentions, and the entities it predicts."""
-    m = with_strings(mentions(spark, sf, *_RULE, "deprel", "governor", "ancestry", "annotated_set_id", "first_in_gold_entity"))
-    names, both = ["fine_type", "number", "gender", "head"], ["exact_match", "head_match", "alias", "sentence_distance"]
-    a = pipeline.arcs(m, "latent", True, names, both)
-    small = a.filter((F.col("ana_idx") - F.col("ante_idx") <= 20) | (F.col("ante_idx") == 0))  # learning looks at the closest candidates
-    model, priors = L.fit(small, "ranking", epochs=2, shards=8)
-    _, clusters = pipeline.predict(m, model, priors, "latent", mention_features=names, pair_features=both)
-    return clusters
-
-
 QUERIES = {
     f.__name__: f
     for f in (
-        candidate_pairs_ranking, candidate_pairs_train, pair_features_string, pair_features_distance, pair_features_overlap, acronym_alias, feature_assembly, feature_assembly_all, rule_edges, rule_antecedent, rule_clusters,
+        candidate_pairs_ranking, candidate_pairs_train, pair_features_string, pair_features_distance, pair_features_overlap, acronym_alias, feature_assembly, feature_assembly_all, rule_edges, speaker_relation, rule_antecedent, rule_clusters,
         arc_score_sparse, argmax_antecedent, argmax_closest_gold, tree_consistency, pair_decode_best_first, cluster_forest, perceptron_train,
     )
 }
@@ -248,7 +243,7 @@ _RULES = {
     "pronoun_parallelism": "a.third AND (NOT b.pro OR b.third) AND coalesce(a.grammatical_function = b.grammatical_function AND b.grammatical_function IN ('SUBJECT', 'OBJECT'), false)",
 }
 _SPEAKER = """(a.spoken OR b.spoken) AND coalesce(CASE
-    WHEN a.pro AND b.pro THEN CASE WHEN a.form = 'i' AND b.form = 'i' THEN a.speaker = b.speaker WHEN (a.form = 'i' AND b.form = 'you') OR (a.form = 'you' AND b.form = 'i') THEN NOT coalesce(a.speaker = b.speaker, false) END
+    WHEN a.pro AND b.pro THEN CASE WHEN a.form = 'i' AND b.form = 'i' THEN a.speaker = b.speaker WHEN (a.form = 'i' AND b.form = 'you') OR (a.form = 'you' AND b.form = 'i') THEN NOT coalesce(a.speaker = b.speaker, false) AND z.ana_idx IS NULL END
     WHEN a.pro AND a.form = 'i' THEN lower(replace(a.speaker, '_', ' ')) IN (b.text, b.head_text) WHEN b.pro AND b.form = 'i' AND NOT a.pro THEN lower(replace(b.speaker, '_', ' ')) IN (a.text, a.head_text) END, false)"""
 _NEG = " OR ".join(f"({_RULES[n]})" for n in ("not_modifier", "not_compatible", "not_embedding", "not_speaker", "not_pronoun_distance", "not_anaphoric"))
 _POS = " + ".join(
@@ -256,9 +251,17 @@ _POS = " + ".join(
     for n, sql in {**{n: _RULES[n] for n in ("alias", "non_pronominal_string_match", "head_match", "pronoun_same_canonical_form", "anaphor_pronoun", "antecedent_is_subject", "antecedent_is_object", "substring")}, "speaker": _SPEAKER}.items()
 )
 _PAIRED = "FROM n a JOIN n b ON a.doc_id = b.doc_id AND b.mention_idx < a.mention_idx"
+# pairs of i and you with somebody else from the first to the last token of both
+_THIRD = """
+    tks AS (SELECT DISTINCT doc_id, tok_idx, speaker FROM tokens WHERE doc_id IS NOT NULL AND tok_idx IS NOT NULL),
+    iy AS (SELECT a.doc_id, a.mention_idx AS ana_idx, b.mention_idx AS ante_idx, least(a.span.begin, b.span.begin) AS lo, greatest(a.span."end", b.span."end") AS hi, coalesce(a.speaker, ta.speaker) AS wa, coalesce(b.speaker, tb.speaker) AS wb
+           FROM n a JOIN n b ON a.doc_id = b.doc_id AND b.mention_idx < a.mention_idx LEFT JOIN tks ta ON ta.doc_id = a.doc_id AND ta.tok_idx = a.span.begin LEFT JOIN tks tb ON tb.doc_id = b.doc_id AND tb.tok_idx = b.span.begin
+           WHERE a.pro AND b.pro AND ((a.form = 'i' AND b.form = 'you') OR (a.form = 'you' AND b.form = 'i'))),
+    third AS (SELECT DISTINCT iy.doc_id, ana_idx, ante_idx FROM iy JOIN tks t ON t.doc_id = iy.doc_id AND t.tok_idx BETWEEN lo AND hi WHERE t.speaker IS DISTINCT FROM wa AND t.speaker IS DISTINCT FROM wb)"""
+_PAIRED_THIRD = f"{_PAIRED} LEFT JOIN third z ON z.doc_id = a.doc_id AND z.ana_idx = a.mention_idx AND z.ante_idx = b.mention_idx"
 _BEST = f"""
-    WITH RECURSIVE {M}, {_M2}, {_ACR},
-    w AS (SELECT a.doc_id, a.mention_idx AS ana_idx, b.mention_idx AS ante_idx, CAST({_POS} AS DOUBLE) / (a.sent_id - b.sent_id + 1) AS weight {_PAIRED} WHERE NOT ({_NEG})),
+    WITH RECURSIVE {M}, {_M2}, {_ACR}, {_THIRD},
+    w AS (SELECT a.doc_id, a.mention_idx AS ana_idx, b.mention_idx AS ante_idx, CAST({_POS} AS DOUBLE) / (a.sent_id - b.sent_id + 1) AS weight {_PAIRED_THIRD} WHERE NOT ({_NEG})),
     r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, ana_idx ORDER BY weight DESC, ante_idx DESC) AS k FROM w WHERE weight > 0), best AS (SELECT * FROM r WHERE k = 1)"""
 
 _VALUES = lambda rows: ", ".join(map(str, rows))
@@ -316,6 +319,7 @@ ORACLE = {
              z AS (SELECT *, list_concat(plain, [fa[1] || '^' || x FOR x IN [plain[i] FOR i IN range(1, len(plain) + 1) IF i NOT IN (1, 6, 11)]]) AS every FROM q)
         SELECT doc_id, ana_idx, ante_idx, CAST(len(plain) + 3 * (len(plain) - 3) AS INT) AS n_features, array_to_string(list_sort(every[1:18]), ' ') AS some_features FROM z""",
     "rule_edges": f"WITH {M}, {_M2}, {_ACR} SELECT a.doc_id, " + ", ".join(f"count(CASE WHEN {sql} THEN 1 END) AS {n}" for n, sql in _RULES.items()) + f" {_PAIRED} GROUP BY ALL",
+    "speaker_relation": f"WITH {M}, {_M2}, {_ACR}, {_THIRD} SELECT a.doc_id, count(*) AS n_pairs, count(CASE WHEN {_SPEAKER} THEN 1 END) AS n_speaker {_PAIRED_THIRD} GROUP BY ALL",
     "rule_antecedent": _BEST + " SELECT doc_id, ana_idx, ante_idx, round(weight, 6) AS weight FROM best",
     "rule_clusters": _BEST + ", l AS (SELECT doc_id, ana_idx AS child, ante_idx AS parent FROM best)," + _ROOTS,
     "arc_score_sparse": f"WITH {_ARCS} SELECT doc_id, ana_idx, round(sum(score), 6) AS sum_score, round(max(score), 6) AS max_score FROM s WHERE label = '+' GROUP BY ALL",
