@@ -17,12 +17,12 @@ from ..operators.pairs import backward_pairs
 from ..session import table
 from ..sinks import writers
 from ..sources import lookups
-from ..storage import shared_dir
+from ..storage import session_dir
 from .base import M, mentions, tokens, with_strings
 
 
 def _folder(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/spanmill/{spark.sparkContext.applicationId}/files-{uuid.uuid4().hex[:12]}"
+    return f"{session_dir(spark)}/files-{uuid.uuid4().hex[:12]}"
 
 
 def mention_features(spark: SparkSession, sf: str) -> DataFrame:

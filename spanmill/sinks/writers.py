@@ -91,6 +91,12 @@ def inline_tags(tokens: DataFrame, mentions: DataFrame, entity: str = "set_id",
     return s.join(per, ["doc_id", "sent_id"], "left").mapInPandas(run, "doc_id string, sent_id int, text string")
 
 
+def write_tagged(tags: DataFrame, path: str) -> None:
+    """Writes sentences of :func:`inline_tags` as text, a folder per document, a line per sentence in their order."""
+    in_order = tags.repartitionByRange("doc_id", "sent_id").sortWithinPartitions("doc_id", "sent_id")
+    in_order.select("doc_id", F.regexp_replace("text", r"[\r\n]+", " ").alias("value")).write.mode("overwrite").partitionBy("doc_id").text(path)
+
+
 def write_model(model: DataFrame, priors: DataFrame, path: str) -> None:
     model.write.mode("overwrite").parquet(f"{path}/weights")
     priors.write.mode("overwrite").parquet(f"{path}/priors")

@@ -4,6 +4,10 @@ Iterative operators cut their lineage by writing a parquet table into the
 folder that all executors share (``spark.checkpoint.dir`` of the session).  A
 lost executor then costs a re-read and never a recomputation of the loop.  The
 folder is set here only where the session names none, as in local tests.
+
+A result reads such tables until it is used, so operators can't delete them all;
+:func:`release` deletes what is left of a session, and so does the end of the
+Python process while the session lives.
 """
 
 from __future__ import annotations
@@ -16,6 +20,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
+_used: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,10 +36,33 @@ def shared_dir(spark: SparkSession) -> str:
     return _own[0]
 
 
+def session_dir(spark: SparkSession) -> str:
+    """The session's own folder within the shared one."""
+    path = f"{shared_dir(spark)}/spanmill/{spark.sparkContext.applicationId}"
+    if path not in _used:
+        if not _used:
+            atexit.register(lambda: [release(s) for s in list(_used.values())])
+        _used[path] = spark
+    return path
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes all written tables of the session; results that still read them can't be used any more."""
+    path = session_dir(spark)
+    _used.pop(path, None)
+    if spark.sparkContext._jsc is not None:
+        _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def write_table(df: DataFrame, tag: str, partition_by: str | None = None) -> DataFrame:
     """Writes ``df`` into the shared folder and returns a scan of what was written."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/spanmill/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex[:12]}"
+    path = f"{session_dir(spark)}/{tag}-{uuid.uuid4().hex[:12]}"
     w = df.write
     (w.partitionBy(partition_by) if partition_by else w).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -47,6 +75,4 @@ def drop_table(df: DataFrame | None) -> None:
     path = getattr(df, "_spanmill_path", None)
     if path is None:
         return
-    jvm = df.sparkSession.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    _delete(df.sparkSession, path)
