@@ -149,8 +149,7 @@ def arc_score_sparse(spark: SparkSession, sf: str) -> DataFrame:
 
 def _scored(spark: SparkSession, sf: str) -> DataFrame:
     model, priors = _model(spark)
-    arcs = _arcs(spark, sf, True)
-    return decode.score_arcs(arcs, model, priors, ("+",)).join(arcs.select(*decode.KEY, "consistent"), decode.KEY)
+    return decode.score_arcs(_arcs(spark, sf, True), model, priors, ("+",), keep=("consistent",))
 
 
 def argmax_antecedent(spark: SparkSession, sf: str) -> DataFrame:

@@ -5,7 +5,7 @@ import pytest
 from conftest import DATA
 
 from spanmill import storage
-from spanmill.operators import analysis
+from spanmill.operators import analysis, decode
 from spanmill.plans import inventory
 from spanmill.sinks import html, writers
 
@@ -63,3 +63,13 @@ def test_pages_and_tagged_text(spark, tmp_path):
     writers.write_tagged(writers.inline_tags(t.filter("token IS NOT NULL"), m), str(tmp_path / "tagged"))
     text = "".join(f.read_text() for f in sorted((tmp_path / "tagged").rglob("*.txt"), key=lambda f: f.name))
     assert text.splitlines()[1].endswith(">her</mention>") and len(text.splitlines()) == 2
+
+
+def test_a_small_model_scores_like_a_large_one(spark, monkeypatch):
+    arcs = spark.createDataFrame([("d", 2, 1, [1, 2, 2], [(3, 0.5)], 1), ("d", 2, 0, [], [], 2), ("d", 3, 1, [9], [], 0)], "doc_id string, ana_idx int, ante_idx int, feats array<int>, num_feats array<struct<idx:int,val:float>>, cost int")
+    model = spark.createDataFrame([("+", 1, 1.0), ("+", 2, -0.25), ("+", 3, 4.0), ("-", 2, 0.5), ("+", 1, 0.5)], "label string, idx int, weight double")
+    priors = spark.createDataFrame([("+", 0.125)], "label string, prior double")
+    rows = lambda: sorted(tuple(r) for r in decode.score_arcs(arcs, model, priors, ("+", "-"), 2.0, keep=("cost",)).collect())
+    small = rows()
+    monkeypatch.setattr(decode, "LITERAL_WEIGHTS", 1)
+    assert rows() == small and ("d", 2, 1, "+", 5.125, 1) in small and len(small) == 6
