@@ -38,7 +38,7 @@ def test_before_adds_up_over_blocks(spark):
         assert got[d, i] == (sum(v for _, v in earlier), max((j for j, _ in earlier), default=None))
 
 
-@pytest.mark.parametrize("name", ["candidate_pairs_ranking"])
+@pytest.mark.parametrize("name", ["candidate_pairs_ranking", "candidate_pairs_train"])
 def test_no_pairs_in_links(spark, monkeypatch, name):
     monkeypatch.setattr(links, "backward_pairs", _no_pairs)
     _same(spark, name)
