@@ -42,3 +42,9 @@ def test_before_adds_up_over_blocks(spark):
 def test_no_pairs_in_links(spark, monkeypatch, name):
     monkeypatch.setattr(links, "backward_pairs", _no_pairs)
     _same(spark, name)
+
+
+@pytest.mark.parametrize("name", ["coreference_agreement"])
+def test_no_pairs_in_inventory(spark, monkeypatch, name):
+    monkeypatch.setattr(inventory, "backward_pairs", _no_pairs, raising=False)
+    _same(spark, name)
