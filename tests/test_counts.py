@@ -3,8 +3,10 @@
 import duckdb
 import pytest
 from conftest import DATA
+from pyspark.sql import functions as F
 
 import __spark_entry__
+from spanmill.functions import features as X
 from spanmill.operators import counts
 from spanmill.plans import inventory, links
 
@@ -38,7 +40,7 @@ def test_before_adds_up_over_blocks(spark):
         assert got[d, i] == (sum(v for _, v in earlier), max((j for j, _ in earlier), default=None))
 
 
-@pytest.mark.parametrize("name", ["candidate_pairs_ranking", "candidate_pairs_train"])
+@pytest.mark.parametrize("name", ["acronym_alias", "candidate_pairs_ranking", "candidate_pairs_train"])
 def test_no_pairs_in_links(spark, monkeypatch, name):
     monkeypatch.setattr(links, "backward_pairs", _no_pairs)
     _same(spark, name)
@@ -48,3 +50,14 @@ def test_no_pairs_in_links(spark, monkeypatch, name):
 def test_no_pairs_in_inventory(spark, monkeypatch, name):
     monkeypatch.setattr(inventory, "backward_pairs", _no_pairs, raising=False)
     _same(spark, name)
+
+
+def test_aliases_are_those_of_the_whole_rule(spark):
+    heads = [[], ["IBM"], ["I.B.M."], ["Int", "Business", "Machines"], ["International", "Business", "Machines", "Corp"], ["Int"], ["Int", None], ["int"], ["Mr.", "Smith"], ["John", "Smith"], ["Smith"], ["J.", "A.", "Smith"], ["John", "A.", "Smyth"], ["Ann", "Smith"]]
+    names = spark.createDataFrame([("d", k, h) for k in ("PERSON", "ORG", "LOC") for h in heads], "doc_id string, kind string, head array<string>")
+    mention = F.struct("head", F.array("kind").alias("ner"), F.lit(0).alias("head_index"), F.lit("NAM").alias("type"))
+    sides = names.select("kind", mention.alias("ana")).join(names.select("kind", mention.alias("ante")), "kind")
+    whole = sides.filter(X.alias(X.pair_getter("ana"), X.pair_getter("ante"))).select("kind", "ana.head", F.col("ante.head").alias("other"))
+    got = sorted(map(repr, links._aliases(names).select("kind", "head", "other").collect()))
+    assert got == sorted(map(repr, whole.collect()))
+    assert len(got) > 20
