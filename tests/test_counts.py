@@ -61,3 +61,16 @@ def test_aliases_are_those_of_the_whole_rule(spark):
     got = sorted(map(repr, links._aliases(names).select("kind", "head", "other").collect()))
     assert got == sorted(map(repr, whole.collect()))
     assert len(got) > 20
+
+
+def test_mentions_of_an_entity_are_blocked_by_their_place(spark, monkeypatch):
+    seen = []
+    whole = links.backward_pairs
+
+    def recorded(m, columns, **how):
+        seen.append(m.agg(F.max(how.get("idx", "mention_idx"))).first()[0] < m.agg(F.max("mention_idx")).first()[0])
+        return whole(m, columns, **how)
+
+    monkeypatch.setattr(links, "backward_pairs", recorded)
+    _same(spark, "feature_assembly")
+    assert seen == [True]
