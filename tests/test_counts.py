@@ -63,6 +63,11 @@ def test_aliases_are_those_of_the_whole_rule(spark):
     assert len(got) > 20
 
 
+def test_no_pairs_of_speakers(spark, monkeypatch):
+    monkeypatch.setattr(links, "backward_pairs", _no_pairs)
+    _same(spark, "speaker_relation")
+
+
 def test_mentions_of_an_entity_are_blocked_by_their_place(spark, monkeypatch):
     seen = []
     whole = links.backward_pairs
