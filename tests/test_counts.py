@@ -68,6 +68,27 @@ def test_no_pairs_of_speakers(spark, monkeypatch):
     _same(spark, "speaker_relation")
 
 
+def test_no_pairs_of_strings(spark, monkeypatch):
+    monkeypatch.setattr(links, "backward_pairs", _no_pairs)
+    _same(spark, "pair_features_string")
+
+
+def test_parts_of_strings(spark):
+    texts = ["", "i", "it", "with", "white", "hit", "a b", "b a b", "ab", "abcdefghi", "xabcdefghij", "\u00e9t\u00e9", "l'\u00e9t\u00e9"]
+    s = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    got = [tuple(r) for r in counts.containing(s, s).collect()]
+    assert sorted(got) == sorted((i, j) for i, x in enumerate(texts) for j, y in enumerate(texts) if x in y)
+
+
+def test_related_items_before(spark):
+    items = [("d", i, i % 3 if i % 7 else None) for i in range(1, 30)] + [("e", i, 2) for i in range(1, 4)]
+    rows = spark.createDataFrame(items, "doc_id string, mention_idx int, item int")
+    relation = [(0, 1), (1, 1), (2, 0)]
+    got = {(r[0], r[1]): r[2] for r in counts.related_before(rows, rows, spark.createDataFrame(relation, "item int, other int")).collect()}
+    for d, i, x in items:
+        assert got.get((d, i), 0) == sum(e == d and j < i and (x, y) in relation for e, j, y in items)
+
+
 def test_mentions_of_an_entity_are_blocked_by_their_place(spark, monkeypatch):
     seen = []
     whole = links.backward_pairs
