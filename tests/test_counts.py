@@ -100,3 +100,10 @@ def test_mentions_of_an_entity_are_blocked_by_their_place(spark, monkeypatch):
     monkeypatch.setattr(links, "backward_pairs", recorded)
     _same(spark, "feature_assembly")
     assert seen == [True]
+
+
+@pytest.mark.parametrize("block", [4, 256])
+def test_distances_without_far_pairs(spark, monkeypatch, block):
+    monkeypatch.setattr(links, "backward_pairs", _no_pairs)
+    monkeypatch.setattr(links, "BLOCK", block)
+    _same(spark, "pair_features_distance")
