@@ -107,3 +107,16 @@ def test_distances_without_far_pairs(spark, monkeypatch, block):
     monkeypatch.setattr(links, "backward_pairs", _no_pairs)
     monkeypatch.setattr(links, "BLOCK", block)
     _same(spark, "pair_features_distance")
+
+
+def test_no_pairs_of_word_sets(spark, monkeypatch):
+    monkeypatch.setattr(links, "backward_pairs", _no_pairs)
+    _same(spark, "pair_features_overlap")
+
+
+def test_long_sets_overlap_as_short_ones(spark):
+    m = spark.createDataFrame([("d", i, sorted(set(w))) for i, w in enumerate(["abcdefgh", "ab", "abx", "x", "abcdefghi", "zabc", "b"], 1)], "doc_id string, mention_idx int, words array<string>")
+    best = lambda short: {
+        r[0]: round(r[1], 9) for r in m.join(links._first_overlaps(m, short), ["doc_id", "words"]).filter("_first < mention_idx").groupBy("mention_idx").agg(F.max("_o")).collect()
+    }
+    assert best(1) == best(3) == best(9) and best(9)[5] == round(8 / 9, 9)
